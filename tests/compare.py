@@ -59,5 +59,6 @@ def diff(spark_df, sql, con):
         return None, True
     bad = [(a, b) for a, b in zip(srows, drows) if not close(a, b)]
     if bad:
-        return f"{len(bad)} of {len(srows)} rows differ; {scols}; spark {bad[0][0]}; sql {bad[0][1]}", False
+        cells = [(c, x, y) for c, x, y in zip(scols, *bad[0]) if not close(x, y)]
+        return f"{len(bad)} of {len(srows)} rows differ; first: {cells[:6]}", False
     return None, False

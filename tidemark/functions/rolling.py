@@ -41,16 +41,24 @@ def extent_stages(fr: Frames, col: str, lb: int) -> list[dict[str, Column]]:
     width, a, b = 1, col, col
     while 2 * width <= lb:
         na, nb = f"_n{2 * width}_{col}", f"_x{2 * width}_{col}"
-        stages.append({na: F.least(a, fr.lag(a, width)), nb: F.greatest(b, fr.lag(b, width))})
+        stages.append(_pair(fr, na, a, nb, b, width))
         width, a, b = 2 * width, na, nb
     rest = lb - width
     if rest:
-        stages.append({lo: F.least(a, fr.lag(a, rest)), hi: F.greatest(b, fr.lag(b, rest))})
+        stages.append(_pair(fr, lo, a, hi, b, rest))
     else:
         stages.append({lo: F.col(a), hi: F.col(b)})
     return stages
 
 
+def _pair(fr: Frames, lo: str, a: str, hi: str, b: str, k: int) -> dict[str, Column]:
+    """Least of a and greatest of b, now and k bars earlier."""
+    return {
+        lo: F.expr(f"least({a}, lag({a}, {k}) {fr.over})"),
+        hi: F.expr(f"greatest({b}, lag({b}, {k}) {fr.over})"),
+    }
+
+
 def position(x: Column, lo: Column, hi: Column) -> Column:
     """Where x sits between lo and hi; flat gives 0.5, null x gives null."""
     return F.when(x.isNotNull(), F.when(hi != lo, F.try_divide(x - lo, hi - lo)).otherwise(F.lit(0.5)))

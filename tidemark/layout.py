@@ -12,8 +12,10 @@ are skipped and a plain per-symbol window is used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -107,15 +109,20 @@ class Frames:
     def of(df: DataFrame) -> Frames:
         return Frames(("symbol", "chunk") if "chunk" in df.columns else ("symbol",))
 
-    @property
+    @cached_property
     def order(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy("time")
 
+    @property
+    def over(self) -> str:
+        """The same order as SQL text."""
+        return f"OVER (PARTITION BY {', '.join(self.keys)} ORDER BY time)"
+
     def w(self, lo: int, hi: int = 0) -> WindowSpec:
         return self.order.rowsBetween(lo, hi)
 
-    def lag(self, col: Column | str, k: int) -> Column:
-        return F.lag(col, k).over(self.order)
+    def lag(self, col: str, k: int) -> Column:
+        return F.expr(f"lag({col}, {k}) {self.over}")
 
     def running(self, col: Column) -> Column:
         return F.sum(col).over(self.w(UNB))
@@ -139,24 +146,29 @@ Spec = Callable[[Frames], Calc]
 
 
 def apply_calcs(df: DataFrame, calcs: Iterable[Calc], drop_temps: bool = True) -> DataFrame:
-    """Run calculations depth by depth; equal temporary names mean equal definitions."""
+    """Run calculations depth by depth; equal temporary names mean equal definitions.
+
+    Outputs are formed as soon as their last stage is there, so temporaries need not be carried to the end.
+    """
     calcs = list(calcs)
     seen: set[str] = set()
-    for depth in range(max((len(c.stages) for c in calcs), default=0)):
-        merged: dict[str, Column] = {}
+    outs: list[str] = []
+    for depth in range(max((len(c.stages) for c in calcs), default=0) + 1):
+        ready: dict[str, Column] = {}
+        for calc in calcs:
+            if len(calc.stages) == depth:
+                for name, col in calc.out.items():
+                    if name in ready or name in outs or name in df.columns:
+                        raise ValueError(f"duplicate output column {name!r}")
+                    ready[name] = col
+        outs += ready
+        level: dict[str, Column] = {}
         for calc in calcs:
             if depth < len(calc.stages):
-                merged.update({k: v for k, v in calc.stages[depth].items() if k not in seen})
-        if merged:
-            seen.update(merged)
-            df = df.withColumns(merged)
-    outs: dict[str, Column] = {}
-    for calc in calcs:
-        for name, col in calc.out.items():
-            if name in outs or name in df.columns:
-                raise ValueError(f"duplicate output column {name!r}")
-            outs[name] = col
-    df = df.withColumns(outs) if outs else df
+                level.update({k: v for k, v in calc.stages[depth].items() if k not in seen})
+        seen.update(level)
+        if ready or level:
+            df = df.withColumns(ready | level)
     return df.drop(*seen) if drop_temps else df
 
 
@@ -180,46 +192,33 @@ def compute(
         chunk_rows=chunk_rows,
     )
     fr = Frames.of(laid)
-    return trim(apply_calcs(laid, [s(fr) for s in specs]))
+    calcs = probe if fr.keys == ("symbol",) else [s(fr) for s in specs]
+    return trim(apply_calcs(laid, calcs))
 
 
 # --------------------------------------------------------------------------- first-order recursion
 
 
 def decay_rows(a: float, digits: float = 40.0) -> int:
-    """Bars after which a factor `a` per bar has shrunk below e**-digits."""
-    import math
-
-    return max(1, math.ceil(digits / -math.log(a)))
-
-
-def block_rows(a: float) -> int:
-    """Rows over which a**-k stays far inside the double range."""
-    return decay_rows(a, 300.0)
+    """Power of two of bars after which a factor `a` per bar has shrunk below e**-digits (4e-18)."""
+    return 1 << math.ceil(math.log2(max(2.0, digits / -math.log(a))))
 
 
 def affine_scan_stages(fr: Frames, name: str, a: float, b: Column) -> tuple[list[dict[str, Column]], Column]:
-    """x[t] = a * x[t-1] + b[t], 0 < a < 1, as windows: three stages and the result column.
+    """x[t] = a * x[t-1] + b[t], 0 < a < 1, as windows: stages and the result column.
 
-    Inside a block of `block_rows(a)` bars, x = a**k * running sum of b * a**-k. The state at the end of the
-    previous block enters with a**(k+1); the block before that is scaled by e**-300 and is nothing in a double.
+    x[t] is the sum of a**j * b[t-j]. By doubling, the sum over 2w terms is the sum over w terms plus a**w times the
+    same sum w bars earlier; it stops where a**w is far below the precision of a double. Only single-row lookups on
+    the common window order are needed: no state, no extra sort, and a bounded lookback for chunked series.
     """
-    size = block_rows(a)
-    k, blk = F.col("bar") % F.lit(size), f"_{name}_blk"
-    local = Window.partitionBy(*fr.keys, blk).orderBy("time").rowsBetween(UNB, 0)
-    kd = k.cast("double")
-    return (
-        [
-            {f"_{name}_b": b, blk: F.floor(F.col("bar") / F.lit(size))},
-            {f"_{name}_y": F.sum(F.col(f"_{name}_b") * F.pow(F.lit(a), -kd)).over(local) * F.pow(F.lit(a), kd)},
-            {
-                f"_{name}_c": F.last(F.when(k == F.lit(size - 1), F.col(f"_{name}_y")), ignorenulls=True).over(
-                    fr.w(UNB, -1)
-                )
-            },
-        ],
-        F.col(f"_{name}_y") + F.coalesce(F.col(f"_{name}_c"), F.lit(0.0)) * F.pow(F.lit(a), kd + F.lit(1.0)),
-    )
+    stages: list[dict[str, Column]] = [{f"_{name}_1": b}]
+    width, cur = 1, f"_{name}_1"
+    while width < decay_rows(a):
+        nxt = f"_{name}_{2 * width}"
+        earlier = f"coalesce(lag({cur}, {width}) {fr.over}, 0D)"
+        stages.append({nxt: F.expr(f"{cur} + {a**width!r}D * {earlier}")})
+        width, cur = 2 * width, nxt
+    return stages, F.col(cur)
 
 
 def affine_max_scan(df: DataFrame, a: float, b: Column, name: str, **layout) -> DataFrame:

@@ -159,7 +159,7 @@ feature(
     fixture="flag",
 )
 _std30 = [{"sd30": f"CASE WHEN bar >= 29 THEN {Q.over('stddev_pop(close)', -29)} END"}]
-_int14 = [{"ir": _IR}, {"i14": f"CASE WHEN bar >= 13 THEN {Q.over('avg(ir)', -13)} END"}]
+_int14 = [{"ir": _IR}, {"i14": f"CASE WHEN bar >= 13 THEN {Q.avg_in_order('ir', 14)} END"}]
 feature(
     "f12_vola_position",
     {
@@ -287,7 +287,7 @@ def bank_sql() -> tuple[str, str]:
             for n in (14, 30)
         ],
         *[
-            [{"ir": _IR}, {f"i{n}": f"CASE WHEN bar >= {n - 1} THEN {Q.over('avg(ir)', -(n - 1))} END"}]
+            [{"ir": _IR}, {f"i{n}": f"CASE WHEN bar >= {n - 1} THEN {Q.avg_in_order('ir', n)} END"}]
             + Q.pir(f"i{n}", 100, f"vola_pos_Intraday_l{n}")
             for n in (14, 30)
         ],

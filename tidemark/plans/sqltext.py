@@ -56,6 +56,11 @@ def chain(stages: list[dict[str, str]], base: str = "bars", prefix: str = "st")
     return ",\n".join(parts), cur
 
 
+def avg_in_order(col: str, n: int) -> str:
+    """Mean of n rows summed oldest first, so that flat stretches compare equal bit by bit."""
+    return "(" + " + ".join([lag(col, k) for k in range(n - 1, 0, -1)] + [col]) + f") / {d(float(n))}"
+
+
 def csum(col: str = "close") -> dict[str, str]:
     return {f"cs_{col}": over(f"sum({col})")}
 
