@@ -135,8 +135,22 @@ def _horner(coefs: tuple[float, ...], x: Column) -> Column:
     return acc
 
 
+def _let(x: Column, fn) -> Column:
+    """fn(x) with x evaluated once, so that long formulas do not repeat it."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
 def norm_cdf(z: Column) -> Column:
     """Standard normal distribution function."""
+    return _let(z, _norm_cdf)
+
+
+def norm_ppf(p: Column) -> Column:
+    """Standard normal quantile for 0 < p < 1."""
+    return _let(p, _norm_ppf)
+
+
+def _norm_cdf(z: Column) -> Column:
     a = F.abs(z)
     e = F.exp(-a * a / 2.0)
     far = a
@@ -146,8 +160,7 @@ def norm_cdf(z: Column) -> Column:
     return F.when(z > 0, F.lit(1.0) - tail).otherwise(tail)
 
 
-def norm_ppf(p: Column) -> Column:
-    """Standard normal quantile for 0 < p < 1."""
+def _norm_ppf(p: Column) -> Column:
     q = p - 0.5
     r = q * q
     mid = _horner(PPF_A, r) * q / _horner(PPF_B, r)

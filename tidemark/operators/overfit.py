@@ -89,3 +89,12 @@ def pbo_cscv(perf: DataFrame, n_splits: int = 10) -> DataFrame:
     return pbo_logits(perf, n_splits).agg(
         F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_combos")
     )
+
+
+def out_of_sample_blocks(perf: DataFrame, n_splits: int) -> DataFrame:
+    """(combo, block) pairs outside the in-sample half; combos count the masks in ascending order from 1."""
+    masks = sorted(sum(1 << b for b in c) for c in combinations(range(n_splits), n_splits // 2))
+    blocks = block_stats(perf, n_splits).select("block").distinct()
+    rows = blocks.select("block", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("_i", "_m"))
+    keep = F.getbit(F.col("_m").cast("long"), F.col("block")) == 0
+    return rows.filter(keep).select((F.col("_i") + 1).cast("long").alias("combo"), "block")

@@ -130,7 +130,7 @@ def rank_slice(
         p = F.col(h) / kk.cast("double")
         return {f"p_at_{tag}": p, f"r_at_{tag}": F.col(h) / F.col("n_true"), f"lift_at_{tag}": F.try_divide(p, base)}
 
-    out = out.withColumns(trio("_h25", k25, "k") | trio("_ht", kt, "ntrue")).drop("_h25", "_ht")
+    out = out.withColumns(trio("_h25", k25, str(k)) | trio("_ht", kt, "ntrue")).drop("_h25", "_ht")
     return out if by else out.drop("_all")
 
 
