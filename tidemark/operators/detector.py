@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rolling as R
 from tidemark.layout import CHUNK_ROWS, DAY, Calc, Frames, Spec, asof_backward, carry_states, compute, running_carry
 from tidemark.operators import features as X
+from tidemark.session import materialise
 
 VOTES = ("trend", "pivot_drift", "volume", "momentum", "momentum_velocity", "volatility", "gjr_asym", "har_vol")
 PIVOT_LB = 20
@@ -286,7 +287,7 @@ def fire_with_cooldown(candidates: DataFrame, cooldown: int, by: Sequence[str] =
     """
     keys = [*by, "symbol"]
     size = max(segment_bars, cooldown + 1)
-    segs = (
+    segs = materialise(
         candidates.withColumn("_seg", F.floor(F.col("bar") / F.lit(size)))
         .groupBy(*keys, "_seg")
         .agg(F.sort_array(F.collect_list(F.col("bar").cast("long"))).alias("_bars"))
@@ -350,9 +351,12 @@ def edge_spec(names: Sequence[str], window: int) -> Spec:
 
 
 def side_frame(bars: DataFrame, p: SidePreset, **layout) -> DataFrame:
-    """Every intermediate value of one side per bar, up to the candidate flag."""
+    """Every intermediate value of one side per bar, up to the candidate flag.
+
+    The windowed inputs are written once; the stateful steps read back only the columns they need.
+    """
     agree = F.col("agree_high" if p.high else "agree_low")
-    df = compute(bars, side_specs(p), **layout)
+    df = materialise(compute(bars, side_specs(p), **layout))
     df = duration_at_extreme(df, agree > p.dur_pct, **layout)
     df = with_drift(df, p.drift_lb, **layout)
     votes = vote_states(p)
