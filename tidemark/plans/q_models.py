@@ -220,7 +220,7 @@ def m3(spark, sf_dir):
     "m4_sequence_windows",
     f"""WITH {POOL_SQL}, n AS (SELECT symbol, time, er_dir_p10, row_number() OVER (PARTITION BY symbol ORDER BY time) AS rn,
       lag(er_dir_p10, 15) OVER (PARTITION BY symbol ORDER BY time) AS f FROM pool)
-SELECT symbol, time, CAST(16 AS INTEGER) AS width, {r6('CAST(f AS FLOAT)', 4)} AS first_value, {r6('CAST(er_dir_p10 AS FLOAT)', 4)} AS last_value FROM n WHERE rn >= 16""",
+SELECT symbol, time, CAST(16 AS INTEGER) AS width, {r6('CAST(CAST(f AS FLOAT) AS DOUBLE)', 4)} AS first_value, {r6('CAST(CAST(er_dir_p10 AS FLOAT) AS DOUBLE)', 4)} AS last_value FROM n WHERE rn >= 16""",
 )
 def m4(spark, sf_dir):
     _, lay = B.bars_supp(spark, sf_dir)

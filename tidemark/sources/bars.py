@@ -134,6 +134,13 @@ def epoch_seconds(df: DataFrame, col: str) -> Column:
     return F.unix_seconds(F.col(col))
 
 
+def instant(df: DataFrame, col: str) -> Column:
+    """The column as a timestamp with time zone, reading values without one as UTC."""
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)"))
+    return F.col(col)
+
+
 def bucket(time: Column, seconds: int, origin: int = 0) -> Column:
     """Left edge of the bucket; floors, so negative times work."""
     return (F.floor((time - F.lit(origin)) / F.lit(seconds)) * F.lit(seconds) + F.lit(origin)).cast("long")
