@@ -200,24 +200,24 @@ def compute(
 
 
 def decay_rows(a: float, digits: float = 40.0) -> int:
-    """Power of two of bars after which a factor `a` per bar has shrunk below e**-digits (4e-18)."""
-    return 1 << math.ceil(math.log2(max(2.0, digits / -math.log(a))))
+    """Power of four of bars after which a factor `a` per bar has shrunk below e**-digits (4e-18)."""
+    return 4 ** math.ceil(math.log(max(4.0, digits / -math.log(a)), 4))
 
 
 def affine_scan_stages(fr: Frames, name: str, a: float, b: Column) -> tuple[list[dict[str, Column]], Column]:
     """x[t] = a * x[t-1] + b[t], 0 < a < 1, as windows: stages and the result column.
 
-    x[t] is the sum of a**j * b[t-j]. By doubling, the sum over 2w terms is the sum over w terms plus a**w times the
-    same sum w bars earlier; it stops where a**w is far below the precision of a double. Only single-row lookups on
-    the common window order are needed: no state, no extra sort, and a bounded lookback for chunked series.
+    x[t] is the sum of a**j * b[t-j]. The sum over 4w terms is the sum over w terms plus the same sum w, 2w and 3w
+    bars earlier, scaled by a**w, a**2w, a**3w; it stops where the factor is far below the precision of a double. Only
+    single-row lookups on the common window order are needed: no state, no extra sort, and a bounded lookback.
     """
     stages: list[dict[str, Column]] = [{f"_{name}_1": b}]
     width, cur = 1, f"_{name}_1"
     while width < decay_rows(a):
-        nxt = f"_{name}_{2 * width}"
-        earlier = f"coalesce(lag({cur}, {width}) {fr.over}, 0D)"
-        stages.append({nxt: F.expr(f"{cur} + {a**width!r}D * {earlier}")})
-        width, cur = 2 * width, nxt
+        nxt = f"_{name}_{4 * width}"
+        terms = [f"{a ** (k * width)!r}D * coalesce(lag({cur}, {k * width}) {fr.over}, 0D)" for k in (1, 2, 3)]
+        stages.append({nxt: F.expr(" + ".join([cur, *terms]))})
+        width, cur = 4 * width, nxt
     return stages, F.col(cur)
 
 

@@ -29,6 +29,13 @@ def _seq(*parts: list[dict[str, Column]]) -> list[dict[str, Column]]:
     return [d for part in parts for d in part]
 
 
+def _together(*parts: list[dict[str, Column]]) -> list[dict[str, Column]]:
+    """Run independent stage lists side by side."""
+    return [
+        {k: v for p in parts if d < len(p) for k, v in p[d].items()} for d in range(max(len(p) for p in parts))
+    ]
+
+
 # --------------------------------------------------------------------------- averages, position in range
 
 
@@ -120,14 +127,11 @@ def efficiency_ratio(p: int, directional: bool, name: str | None = None) -> Spec
 
     def spec(fr: Frames) -> Calc:
         net = F.col(f"_net{p}")
-        path = F.col(f"_path{p}")
+        sums, path = R.window_sum(fr, "_move", p)
         move = net if directional else F.abs(net)
         er = F.when(path > 0, F.try_divide(move, path)).otherwise(F.lit(0.0))
         return Calc(
-            [
-                {"_move": F.abs(close_() - fr.lag("close", 1)), f"_net{p}": close_() - fr.lag("close", p)},
-                {f"_path{p}": F.sum("_move").over(fr.w(-(p - 1)))},
-            ],
+            [{"_move": F.abs(close_() - fr.lag("close", 1)), f"_net{p}": close_() - fr.lag("close", p)}, *sums],
             {name or f"er_{'dir' if directional else 'abs'}_p{p}": F.when(F.col("bar") >= p, er)},
             lookback=p + 1,
         )
@@ -153,7 +157,8 @@ def rma_stages(fr: Frames, col: str, n: int, tag: str) -> tuple[list[dict[str, C
     x = F.col(col)
     if n == 1:
         return [], x
-    seed = F.avg(x).over(fr.w(-(n - 1)))
+    # the running sum is read at bar n-1 only, where it covers exactly the first n values
+    seed = fr.running(x) / F.lit(float(n))
     b = F.when(F.col("bar") < n - 1, F.lit(0.0)).when(F.col("bar") == n - 1, F.col(f"_{tag}_seed"))
     stages, out = affine_scan_stages(fr, tag, (n - 1) / n, b.otherwise(x / F.lit(float(n))))
     return [{f"_{tag}_seed": seed}, *stages], F.when(F.col("bar") >= n - 1, out)
@@ -175,8 +180,8 @@ def vola_raw_stages(fr: Frames, method: str, n: int) -> tuple[list[dict[str, Col
         stages, out = rma_stages(fr, "_tr", n, f"atr{n}")
         return true_range_stages(fr) + stages, out, 1 + n + (decay_rows((n - 1) / n) if n > 1 else 0)
     if kind == "stddev":
-        std = F.stddev_pop(close_()).over(fr.w(-(n - 1)))
-        return [{f"_std{n}": F.when(F.col("bar") >= n - 1, std)}], F.col(f"_std{n}"), n
+        stages, std = R.window_std(fr, "close", n)
+        return stages, std, n
     if kind == "intraday":
         share = F.when(close_() > 0, F.try_divide(F.col("high") - F.col("low"), close_())).otherwise(F.lit(0.0))
         avg = F.when(F.col("bar") >= n - 1, F.avg("_ir").over(fr.w(-(n - 1))))
@@ -242,14 +247,10 @@ def linreg_slope(s: int, name: str | None = None) -> Spec:
     """Least-squares slope of the last s closes over their SMA, per mille; non-positive SMA gives 0."""
 
     def spec(fr: Frames) -> Calc:
-        slope = F.regr_slope(close_(), F.col("bar").cast("double")).over(fr.w(-(s - 1)))
-        avg = F.col(f"_sma_close_{s}")
-        val = F.when(avg > 0, F.try_divide(F.col(f"_ols{s}"), avg) * F.lit(1000.0)).otherwise(F.lit(0.0))
-        return Calc(
-            [R.csum(fr) | {f"_ols{s}": slope}, R.sma(fr, s)],
-            {name or f"linreg_slope_s{s}": F.when(F.col("bar") >= s - 1, val)},
-            lookback=s,
-        )
+        stages, slope = R.window_slope(fr, "close", s)
+        avg = F.col(f"_tot{s}_close") / F.lit(float(s))
+        val = F.when(avg > 0, F.try_divide(slope, avg) * F.lit(1000.0)).otherwise(F.lit(0.0))
+        return Calc(stages, {name or f"linreg_slope_s{s}": F.when(F.col("bar") >= s - 1, val)}, lookback=s)
 
     return spec
 
@@ -394,12 +395,13 @@ def dist_above_sma_z(length: int, z_win: int, name: str | None = None) -> Spec:
     """tanh of the distance above the long mean in trailing standard deviations; flat window gives 0."""
 
     def spec(fr: Frames) -> Calc:
-        m, sd = F.col(f"_zm{length}"), F.col(f"_zs{z_win}")
+        stages, sd = R.window_std(fr, "close", z_win)
+        total, m = R.window_sum(fr, "close", length)
+        m = m / F.lit(float(length))
+        stages = _together(stages, total)
         z = F.when(sd > 0, F.tanh(F.try_divide(close_() - m, sd))).otherwise(F.lit(0.0))
         return Calc(
-            [{f"_zm{length}": R.rolling_mean(fr, close_(), length), f"_zs{z_win}": R.rolling_std(fr, close_(), z_win)}],
-            {name or f"dist_above_sma_z_l{length}": F.when(m.isNotNull() & sd.isNotNull(), z)},
-            lookback=max(length, z_win),
+            stages, {name or f"dist_above_sma_z_l{length}": F.when(m.isNotNull() & sd.isNotNull(), z)}, lookback=max(length, z_win)
         )
 
     return spec
@@ -421,11 +423,8 @@ def drawdown_from_high(lb: int, name: str | None = None) -> Spec:
 
 
 def realized_vol_stages(fr: Frames, win: int) -> list[dict[str, Column]]:
-    return [
-        {"_pc": fr.lag("close", 1)},
-        {"_logret": R.log_return(close_(), F.col("_pc"))},
-        {f"_rv{win}": R.rolling_std(fr, F.col("_logret"), win)},
-    ]
+    stages, std = R.window_std(fr, "_logret", win)
+    return [{"_pc": fr.lag("close", 1)}, {"_logret": R.log_return(close_(), F.col("_pc"))}, *stages, {f"_rv{win}": std}]
 
 
 def realized_vol(win: int, name: str = "realized_vol") -> Spec:
@@ -447,9 +446,11 @@ def realized_vol_pct(win: int, range_len: int, name: str = "realized_vol_pct") -
 def vol_of_vol(win: int, name: str = "vol_of_vol") -> Spec:
     def spec(fr: Frames) -> Calc:
         vov = f"_vov{win}"
+        more, std = R.window_std(fr, f"_rv{win}", win)
         stages = _seq(
             realized_vol_stages(fr, win),
-            [{vov: R.rolling_std(fr, F.col(f"_rv{win}"), win)}],
+            more,
+            [{vov: std}],
             R.extent_stages(fr, vov, win),
         )
         return Calc(stages, {name: R.pir(vov, win)}, lookback=3 * win + 1)

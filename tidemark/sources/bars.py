@@ -155,19 +155,20 @@ def ticks_to_bars(
     shuffle, and the result is keyed by (symbol, bucket), not by symbol.
     """
     t = df.select(
-        key.cast("string").alias("symbol"),
+        key.alias("_k"),
         bucket(ts, seconds).alias("time"),
         price.cast("double").alias("_p"),
         qty.cast("double").alias("_q"),
         F.struct(*order).alias("_o"),
     )
-    return t.groupBy("symbol", "time").agg(
+    bars = t.groupBy("_k", "time").agg(
         F.min_by("_p", "_o").alias("open"),
         F.max("_p").alias("high"),
         F.min("_p").alias("low"),
         F.max_by("_p", "_o").alias("close"),
         F.sum("_q").alias("volume"),
     )
+    return bars.select(F.col("_k").cast("string").alias("symbol"), "time", *OHLCV)
 
 
 def resample_bars(df: DataFrame, seconds: int, origin: int = 0) -> DataFrame:
