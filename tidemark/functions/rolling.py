@@ -42,7 +42,7 @@ def extent_stages(fr: Frames, col: str, lb: int) -> list[dict[str, Column]]:
     width, a, b = 1, col, col
     while RADIX * width <= lb:
         na, nb = f"_n{RADIX * width}_{col}", f"_x{RADIX * width}_{col}"
-        stages.append(_pair(fr, na, a, nb, b, [width, 2 * width, 3 * width]))
+        stages.append(_pair(fr, na, a, nb, b, [k * width for k in range(1, RADIX)]))
         width, a, b = RADIX * width, na, nb
     # overlapping blocks of `width` that cover the last lb bars
     offsets = [*range(width, lb - width, width), lb - width] if lb > width else []

@@ -350,13 +350,28 @@ def edge_spec(names: Sequence[str], window: int) -> Spec:
     return spec
 
 
-def side_frame(bars: DataFrame, p: SidePreset, **layout) -> DataFrame:
+def windowed_inputs(bars: DataFrame, p: SidePreset, **layout) -> DataFrame:
+    """All windowed inputs of one side, written once."""
+    return materialise(compute(bars, side_specs(p), **layout))
+
+
+def inputs_key(p: SidePreset) -> SidePreset:
+    """The preset with everything blanked that the windowed inputs do not depend on."""
+    windowed = tuple(v for v in p.votes if v in ("volatility", "gjr_asym", "har_vol"))
+    return replace(
+        p, min_duration=0, cooldown=0, min_agreement=0.0, dur_pct=0.0, confirm_count=0, vol_surge=0.0, scale_div=0.0,
+        slope=0.0, vola_high=0.0, drift_lb=0, drift_thr=0.0, drift_gate=0.0, drift_bias=0, gjr_thr=0.0, har_thr=0.0,
+        velocity_mode="", velocity_thr=0.0, use_edge=False, edge_window=0, er_gate=False, votes=windowed, price_gate=False,
+    )
+
+
+def side_frame(bars: DataFrame, p: SidePreset, inputs: DataFrame | None = None, **layout) -> DataFrame:
     """Every intermediate value of one side per bar, up to the candidate flag.
 
-    The windowed inputs are written once; the stateful steps read back only the columns they need.
+    The stateful steps read back only the columns they need from the written inputs.
     """
     agree = F.col("agree_high" if p.high else "agree_low")
-    df = materialise(compute(bars, side_specs(p), **layout))
+    df = windowed_inputs(bars, p, **layout) if inputs is None else inputs
     df = duration_at_extreme(df, agree > p.dur_pct, **layout)
     df = with_drift(df, p.drift_lb, **layout)
     votes = vote_states(p)
@@ -412,9 +427,9 @@ def detect_side(bars: DataFrame, p: SidePreset, **layout) -> DataFrame:
     return out.withColumn("bars_since_fire", since).drop("_last")
 
 
-def fires(bars: DataFrame, p: SidePreset, **layout) -> DataFrame:
+def fires(bars: DataFrame, p: SidePreset, inputs: DataFrame | None = None, **layout) -> DataFrame:
     """(symbol, bar, time) of the fires of one side."""
-    df = side_frame(bars, p, **layout).filter("candidate").select("symbol", "bar", "time")
+    df = side_frame(bars, p, inputs, **layout).filter("candidate").select("symbol", "bar", "time")
     fired = fire_with_cooldown(df.select("symbol", "bar"), p.cooldown)
     return df.join(fired, ["symbol", "bar"])
 
@@ -432,11 +447,18 @@ def detect_turns(bars: DataFrame, preset: Sequence[SidePreset] = DEFAULT_PRESET,
 
 
 def sweep(bars: DataFrame, presets: Sequence[tuple[str, SidePreset]], **layout) -> DataFrame:
-    """(preset, side, symbol, bar, time) of the fires of many presets in one job."""
-    parts = [
-        fires(bars, p, **layout).select(F.lit(n).alias("preset"), F.lit(p.side).alias("side"), "symbol", "bar", "time")
-        for n, p in presets
-    ]
+    """(preset, side, symbol, bar, time) of the fires of many presets.
+
+    Presets that differ only in thresholds share one table of windowed inputs.
+    """
+    inputs: dict[SidePreset, DataFrame] = {}
+    parts = []
+    for n, p in presets:
+        key = inputs_key(p)
+        if key not in inputs:
+            inputs[key] = windowed_inputs(bars, p, **layout)
+        hit = fires(bars, p, inputs[key], **layout)
+        parts.append(hit.select(F.lit(n).alias("preset"), F.lit(p.side).alias("side"), "symbol", "bar", "time"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

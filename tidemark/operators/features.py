@@ -100,8 +100,11 @@ def agreement(start: int, end: int, step: int, pct: float, prefix: str = "agree"
         built = [scale_pir_stages(fr, s, max(s, 20)) for s in scales]
         depth = max(len(st) for st, _ in built)
         stages = [{k: v for st, _ in built if d < len(st) for k, v in st[d].items()} for d in range(depth)]
-        high = sum((F.when(p > pct, 1).otherwise(0) for _, p in built), F.lit(0))
-        low = sum((F.when(p < 1.0 - pct, 1).otherwise(0) for _, p in built), F.lit(0))
+        # each position is formed once and then compared twice
+        names = [f"_{prefix}_p{s}" for s in scales]
+        stages.append({n: p for n, (_, p) in zip(names, built)})
+        high = sum((F.when(F.col(n) > pct, 1).otherwise(0) for n in names), F.lit(0))
+        low = sum((F.when(F.col(n) < 1.0 - pct, 1).otherwise(0) for n in names), F.lit(0))
         stages.append({f"_{prefix}_nh": high, f"_{prefix}_nl": low})
         n = float(max(len(scales), 1))
         out = {

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import with_prf
-from tidemark.layout import materialise
 from tidemark.operators.events import match_counts
 from tidemark.operators.ranking import quantiles
+from tidemark.session import materialise
 
 COUNTS = ("tp", "fp", "fn")
 
@@ -104,8 +104,8 @@ def tune_threshold(
     cand = quantiles(rows, keys, "_s", probs).select(*keys, F.col("value").alias("thr"))
     top = rows.groupBy(*keys).agg(F.max("_s").alias("_m")).select(*keys, _just_below(F.col("_m")).alias("thr"))
     cand = cand.unionByName(top).distinct()
-    # at most grid + 1 thresholds per group
-    lists = cand.groupBy(*keys).agg(F.sort_array(F.collect_list("thr"), False).alias("_thrs"))
+    # at most grid + 1 thresholds per group; written so that its size is known to the joins
+    lists = materialise(cand.groupBy(*keys).agg(F.sort_array(F.collect_list("thr"), False).alias("_thrs")))
     hits = rows.join(lists, keys).withColumn("_k", F.size(F.filter("_thrs", lambda t: F.col("_s") < t)))
     per = hits.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("_y").cast("long")).alias("t"))
     # rows are counted by the first candidate they pass; _k = number of stricter candidates
@@ -116,9 +116,10 @@ def tune_threshold(
     )
     budget = F.greatest(F.lit(512).cast("long"), F.col("n_true") * 6)
     kept = spread.withColumn("n_flagged", flagged).filter((F.col("n_flagged") <= budget) & (F.col("n_true") > 0))
+    kept = materialise(kept)
     reach = kept.groupBy(*keys).agg(F.max("_i").alias("_last"))
     # flagged rows once per candidate they pass, truths once per candidate
-    marked = rows.join(lists, keys).join(reach, keys).withColumn("_k", F.size(F.filter("_thrs", lambda t: F.col("_s") < t)))
+    marked = rows.join(lists.join(reach, keys), keys).withColumn("_k", F.size(F.filter("_thrs", lambda t: F.col("_s") < t)))
     marked = marked.filter((F.col("_k") <= F.col("_last")) | F.col("_y"))
     start = F.when(F.col("_y"), F.lit(0)).otherwise(F.col("_k"))
     ev = marked.withColumn("_i", F.explode(F.sequence(start, F.col("_last")))).select(

@@ -134,7 +134,7 @@ def zscore_by_series(df: DataFrame, cols: Sequence[str], train: Column, by: Sequ
         *[F.coalesce(f"_m_{c}", f"_gm_{c}").alias(f"_m_{c}") for c in cols],
         *[F.coalesce(f"_s_{c}", f"_gs_{c}").alias(f"_s_{c}") for c in cols],
     )
-    out = df.join(stats, keys)
+    out = df.join(materialise(stats), keys)
 
     def z(c: str) -> Column:
         sd = F.when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
@@ -237,7 +237,7 @@ def subsample_negatives(df: DataFrame, y: str, ratio: int = NEG_PER_POS, seed: i
     """
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(1))
-    n = rows.groupBy(*keys).agg(F.sum(y).cast("long").alias("_np"))
+    n = materialise(rows.groupBy(*keys).agg(F.sum(y).cast("long").alias("_np")))
     draw = F.md5(F.concat_ws("|", "symbol", F.col("bar").cast("string"), F.lit(str(seed))))
     neg = rows.filter(F.col(y) == 0).withColumn("_h", draw)
     ranked = with_group_rank(neg, keys, [F.col("_h"), F.col("symbol"), F.col("bar")], "_r").drop("_n_group", "_h")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import scored_only
 from tidemark.layout import global_rank, global_running
 from tidemark.operators.events import match_counts
+from tidemark.session import materialise
 
 K_FIXED = 25
 
@@ -101,8 +102,8 @@ def with_group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], n
     firsts = ranked.groupBy(*by).agg(F.min("_grank").alias("_first"), F.count(F.lit(1)).alias("_n_group"))
     if not by:
         return ranked.withColumn(name, F.col("_grank")).withColumn("_n_group", F.lit(None).cast("long")).drop("_grank")
-    # one row per group; joined on the group, where AQE broadcasts the small side or splits a skewed one
-    return ranked.join(firsts, list(by)).withColumn(name, F.col("_grank") - F.col("_first")).drop("_grank", "_first")
+    # one row per group, written so that its size is known: small ones are broadcast, and the rows stay where they are
+    return ranked.join(materialise(firsts), list(by)).withColumn(name, F.col("_grank") - F.col("_first")).drop("_grank", "_first")
 
 
 def rank_slice(
@@ -112,7 +113,7 @@ def rank_slice(
     rows = check_binary(scored_only(df, score), y, weight)
     keys = list(by) or ["_all"]
     rows = rows if by else rows.withColumn("_all", F.lit(1))
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("n_true"))
+    stats = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("n_true")))
     ranked = with_group_rank(rows, keys, [F.col(score).desc(), *[F.col(p) for p in pos]], "_r").drop("_n_group")
     sized = ranked.join(stats, keys)
     k25 = F.least(F.lit(k).cast("long"), F.col("n"))
