@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing
+from tidemark.llm import audio, packing, urls
 from tidemark.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,3 +14,13 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_media_audio")
+def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_features(table(spark, sf_dir, "documents"), keep=False).drop("media", "tensors")
+
+
+@query("op10_url_markov")
+def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"))
