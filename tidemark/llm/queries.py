@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, packing, transducer, urls
+from tidemark.llm import audio, chunktable, packing, transducer, urls
 from tidemark.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,3 +29,8 @@ def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_sentencepiece_chunks")
+def op2_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunktable.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False).drop("ids", "decoded")
