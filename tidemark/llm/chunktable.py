@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.packed import bucket_of, deflate, inflate, pack_numbers, pack_parts, unpack_numbers, unpack_parts
 from tidemark.llm.spmodel import mergeable_pieces
 from tidemark.llm.tables import groups_for, rows_of
 from tidemark.llm.wordhash import blocks, hash_ranges
@@ -43,38 +44,6 @@ def load(path: str):
     return _models[path]
 
 
-def _deflate(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _inflate(data: bytes) -> bytes:
-    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, compressed byte by byte."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return _deflate(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_inflate(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
-def pack_parts(*parts: bytes) -> bytes:
-    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-
-
-def unpack_parts(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
 def chunk_ranges(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each chunk without its first mark; a text's first mark is implied."""
     blank = raw == 32
@@ -133,12 +102,12 @@ class Slot:
         digest.update(hashes.tobytes())
         slot = int.from_bytes(digest.digest(), "little", signed=True)
         if words:
-            bucket = _bucket(known, buckets)
+            bucket = bucket_of(known, buckets)
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 texts = [self.words[h] for h in known[a:b].tolist()]
                 size = np.fromiter(map(len, texts), np.uint32, len(texts))
-                yield slot, int(bucket[a]), pack_parts(pack_numbers(size), _deflate(b"".join(texts))), None, None
+                yield slot, int(bucket[a]), pack_parts(pack_numbers(size), deflate(b"".join(texts))), None, None
         else:
             rank = np.cumsum(new) - 1
             often = np.argsort(-np.bincount(rank, minlength=len(known)), kind="stable")
@@ -149,10 +118,6 @@ class Slot:
             yield slot, -1, pack_parts(pack_numbers(often), pack_numbers(position)), self.doc_ids, np.concatenate(self.chunks).tolist()
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _spell(docs: DataFrame, buckets: int, words: bool) -> DataFrame:
     """Chunk lists for buckets, or positions, of each slot."""
 
@@ -185,7 +150,7 @@ def _segment(parts: DataFrame, model: str) -> DataFrame:
         for data in rows["data"].to_pylist():
             size, text = unpack_parts(data)
             end = np.cumsum(unpack_numbers(size), dtype=np.int64)
-            text = _inflate(text)
+            text = inflate(text)
             lists.append([index.setdefault(text[b - n : b], len(index)) for b, n in zip(end.tolist(), np.diff(end, prepend=0).tolist(), strict=True)])
         known = sp.encode([w.decode() for w in index], num_threads=1)
         known = [ids or [alone] for ids in known]
