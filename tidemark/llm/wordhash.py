@@ -46,10 +46,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Hash of each byte range; ranges are in order and don't overlap. `lower` folds A-Z."""
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each byte range; ranges are in order and don't overlap. `lower` folds A-Z; `table` gives a value for each byte."""
     out = np.empty(len(start), np.uint64)
-    table = _LOWER if lower else _EXACT
+    table = table if table is not None else _LOWER if lower else _EXACT
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, "right")))
@@ -84,9 +84,9 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
         row = last
 
 
-def word_ranges(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; a text's end ends a word."""
-    word = ~SPACE[raw]
+def word_ranges(at: np.ndarray, raw: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word, a run without bytes of `space`; a text's end ends a word."""
+    word = ~space[raw]
     before = np.empty(len(raw) + 1, bool)
     before[0], before[1:] = False, word
     before[at] = False
@@ -96,6 +96,14 @@ def word_ranges(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(word & ~before[:-1]), np.flatnonzero(word & ~after[1:]) + 1
 
 
+def hash_runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run values[start:end] of 64-bit values; runs may overlap or be empty."""
+    up, down = _power(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def text_words(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
     """Word hashes, in order, of each text of a string column."""
     for _, at, raw in blocks(column):
