@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chunktable, innerproduct, jaccard, lines, packing, transducer, urls
+from tidemark.llm import audio, chunktable, innerproduct, jaccard, lines, packing, quality, transducer, urls
 from tidemark.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -81,3 +81,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_cotraining")
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
