@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,24 +24,41 @@ def local_session(cpus: str = "8", app: str = "tidemark") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, as named by the session.
+    """Shared folder for intermediate tables, as `spark.checkpoint.dir` names it.
 
-    Only a session that names none (tests, single machine) gets one of its own.
+    A session on one machine may leave it unset and gets a folder of its own; on a cluster that is an error, as
+    executors don't see the driver's disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_folder()
     return root.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables. They stay, as lazy results read them, until `clear_scratch`."""
+    return f"{checkpoint_root(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that were built on them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once below the checkpoint folder and read it back.
+    """Write `df` once below the scratch folder and read it back.
 
     Cuts lineage with a table that outlives any executor, and pins values that must not
     differ between two uses (row numbers taken from a physical order).
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
