@@ -222,3 +222,21 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     linked = member.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where(F.col("columns").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return alone.unionByName(linked)
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their component: those of the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays, whichever its columns; rows without a doc_id can't be told apart and stay.
+    """
+    found = materialise(jaccard_components(docs, shingle, percent))
+    named = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc_id"))
+    named = named.agg(F.min("component_id").alias("__component"), F.count(F.lit(1)).alias("__rows"))
+    keep = materialise(named.where("__doc_id = __component").select("__doc_id", "__rows"))
+    by_id = docs["doc_id"] == F.col("__doc_id")
+    out = docs.join(keep.where("__rows = 1").select("__doc_id"), by_id, "left_semi")
+    if not keep.where("__rows > 1").isEmpty():
+        out = out.unionByName(docs.join(keep.where("__rows > 1").select("__doc_id"), by_id, "left_semi").dropDuplicates(["doc_id"]))
+    if not found.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where(F.col("doc_id").isNull()))
+    return out

@@ -297,6 +297,18 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     return co_train(*_examples(docs, labels, labelled_rows, pool_rows))
 
 
+def text_quality(text: pa.Array, meta: np.ndarray, model: QualityModel) -> list[np.ndarray]:
+    """Calibrated probabilities of each text by itself, by its metadata features, and by both."""
+    zm = model.meta[meta].sum(axis=1) + model.meta[-1]
+    zt = np.zeros(len(zm))
+    for row, at, raw in blocks(text):
+        shape, words, bound = text_features(at, raw)
+        z = model.text[shape].sum(axis=1) + model.text[-1]
+        z += WORD_SCALE * _sums(model.text[SHAPE_SIZE + words], bound) / np.maximum(1, np.diff(bound))
+        zt[row : row + len(z)] = z
+    return [np.round(p, 6) for p in model.combine(zt, zm)]
+
+
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id with the calibrated probability of good quality by text, by metadata, and by both.
 
@@ -306,15 +318,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
             meta = meta_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-            zm = model.meta[meta].sum(axis=1) + model.meta[-1]
-            zt = np.zeros(len(zm))
-            for row, at, raw in blocks(batch.column(1)):
-                shape, words, bound = text_features(at, raw)
-                n = np.diff(bound)
-                z = model.text[shape].sum(axis=1) + model.text[-1]
-                z += WORD_SCALE * _sums(model.text[SHAPE_SIZE + words], bound) / np.maximum(1, n)
-                zt[row : row + len(z)] = z
-            out = [np.round(p, 6) for p in model.combine(zt, zm)]
+            out = text_quality(batch.column(1), meta, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p) for p in out)], ["doc_id", "text_score", "meta_score", "quality"])
 
     return _inputs(docs).mapInArrow(run, f"doc_id long, {SCORES}")
@@ -328,3 +332,19 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classes all get one score: kept, unless all labels are bad. An empty table gives no rows.
     """
     return score(docs, train(docs, labels)).withColumn("keep", F.col("quality") >= KEEP)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose quality is at least KEEP. Scores stay in the task that reads the text."""
+    model = train(docs, labels)
+
+    @F.pandas_udf("double")
+    def probability(text, source, lang, n_chars):
+        import pandas as pd
+
+        meta = meta_features(source.tolist(), lang.tolist(), [None if pd.isna(n) else int(n) for n in n_chars])
+        return pd.Series(text_quality(pa.array(text, pa.string(), from_pandas=True), meta, model)[2])
+
+    given = _inputs(docs).columns[1:]
+    have = [F.col(c).cast("string" if c != "n_chars" else "long") if c in docs.columns else F.lit(None).cast("string" if c != "n_chars" else "long") for c in given]
+    return docs.where(probability(*have) >= KEEP)
