@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chunktable, innerproduct, jaccard, lines, packing, quality, transducer, urls
+from tidemark.llm import audio, chunktable, innerproduct, jaccard, lines, packing, quality, transducer, urls, warc
 from tidemark.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,33 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_cotraining")
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP6_SQL = """
+WITH r AS (
+  SELECT page_id, CAST(floor(page_id / 500.0) AS BIGINT) AS file,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') AS body, chr(13) || chr(10) || chr(13) || chr(10) AS tail FROM pages),
+l AS (SELECT *, CAST(octet_length(encode(body || tail)) AS BIGINT) AS length FROM r),
+o AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM l)
+SELECT file, "offset", length AS first_length, sha256(body || tail) AS first_digest,
+  CASE WHEN page_id % 211 <> 7 THEN length END AS second_length,
+  CASE WHEN page_id % 211 <> 7 THEN sha256(left(body, length(body) - 1) || '?' || tail) END AS second_digest,
+  CASE WHEN page_id % 211 <> 7 THEN 'changed' ELSE 'missing' END AS status
+FROM o WHERE page_id % 211 = 7 OR (page_id % 101 = 5 AND right(body, 1) <> '?')
+"""
+
+
+@query("op6_warc_fixity", OP6_SQL)
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the pages' WARC files against an aged copy."""
+    found = warc.records(table(spark, sf_dir, "pages"))
+    kept, worn = warc.aged_copy(found)
+    placed = warc.with_offsets(warc.digests(found))
+    # the copy's index has the offsets of the files as they were written
+    aged = warc.digests(kept, worn).select("page_id", "file", F.col("digest").alias("now"))
+    return warc.audit(placed, placed.join(aged, ["file", "page_id"]).select("file", "offset", "length", F.col("now").alias("digest")))
