@@ -328,7 +328,7 @@ def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
         def one(t, d):
             d = set(d)
-            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d)
+            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d) if d else t
 
         return pd.Series([one(t, d) for t, d in zip(text, drop, strict=True)])
 
