@@ -8,7 +8,7 @@ tables have at most SYMBOLS ** (ORDER + 1) rows however many URLs there are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,18 +44,20 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return name, verdict
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where lambdas of the body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(text: Column) -> Column:
     """Codes of a text's ORDER + 1 grams, begin and end marks included: at least one."""
     folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), "0123456789" + BEGIN + END, "0" * 10 + "\x01\x01")
     codes = F.transform(F.split(F.concat(F.lit(BEGIN * ORDER), folded, F.lit(END)), ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
-    def code(c: Column, i: Column) -> Column:
-        out = c
-        for back in range(1, ORDER + 1):
-            out = out + F.get(codes, i - back) * SYMBOLS**back
-        return F.when(i >= ORDER, out)
+    def gram(codes: Column, i: Column) -> Column:
+        return sum((F.get(codes, i - back) * SYMBOLS**back for back in range(1, ORDER + 1)), F.get(codes, i))
 
-    return F.filter(F.transform(codes, code), lambda x: x.isNotNull())
+    return _let(codes, lambda codes: F.transform(F.sequence(F.lit(ORDER), F.size(codes) - 1), lambda i: gram(codes, i)))
 
 
 def _level(seen: DataFrame, order: int, below: DataFrame) -> DataFrame:
@@ -103,8 +105,7 @@ def train(labelled: DataFrame) -> DataFrame:
 def ratio_score(url: Column, ratios: str) -> Column:
     """Mean ratio over a URL's characters; `ratios` lists one value for each gram in order."""
     values = F.split(F.lit(ratios), ",").cast("array<double>")
-    codes = grams(url)
-    return F.round(F.aggregate(codes, F.lit(0.0), lambda a, g: a + F.get(values, g)) / F.size(codes), 6)
+    return _let(grams(url), lambda codes: F.round(F.aggregate(codes, F.lit(0.0), lambda a, g: a + F.get(values, g)) / F.size(codes), 6))
 
 
 def threshold(scored: DataFrame) -> float:
