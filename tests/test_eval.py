@@ -151,7 +151,7 @@ def test_tune_threshold_brute_force(spark):
         s = np.round(rng.random(n) + 0.4 * y, 2)
         rows += [(fold, "a" if i < n // 2 else "b", int(i), float(s[i]), bool(y[i])) for i in range(n)]
     df = spark.createDataFrame(rows, "fold int, symbol string, bar long, score double, is_true boolean")
-    got = {r["fold"]: r for r in M.tune_threshold(df, 3, 20).collect()}
+    got = {r["fold"]: r for r in M.tune_threshold(df, 3, 20, budget=(512, 6)).collect()}
     pdf = df.toPandas()
     for fold, g in pdf.groupby("fold"):
         if not g["is_true"].any():

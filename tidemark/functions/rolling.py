@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.layout import Frames
 
 
-def csum(fr: Frames, col: str = "close") -> dict[str, Column]:
-    """Inclusive running sum."""
-    return {f"_csum_{col}": fr.running(F.col(col))}
+def sma(fr: Frames, s: int, col: str = "close") -> list[dict[str, Column]]:
+    """Mean of the last s values, `_sma_<col>_<s>`; null for the first s-1 bars.
 
-
-def sma(fr: Frames, s: int, col: str = "close") -> dict[str, Column]:
-    """Mean of the last s values as a difference of running sums; null for the first s-1 bars. Needs `csum`."""
-    c = F.col(f"_csum_{col}")
-    gone = F.when(F.col("bar") == s - 1, F.lit(0.0)).otherwise(F.lag(c, s).over(fr.order))
-    return {f"_sma_{col}_{s}": F.when(F.col("bar") >= s - 1, (c - gone) / F.lit(float(s)))}
+    The sum is made of block sums over these s values alone, so it is the same wherever a series is cut, and a flat
+    stretch has one and the same mean throughout.
+    """
+    stages, total = window_sum(fr, col, s)
+    return [*stages, {f"_sma_{col}_{s}": F.when(F.col("bar") >= s - 1, total / F.lit(float(s)))}]
 
 
 FRAME_LIMIT = 12

@@ -107,18 +107,19 @@ def strict_agreement(scales: Sequence[int], pct: float, prefix: str = "agree") -
     """Agreement over a fixed list of scales whose ratio is undefined until its average is."""
 
     def spec(fr: Frames) -> Calc:
-        stages: list[dict[str, Column]] = [R.csum(fr), {}, {}]
+        stages: list[dict[str, Column]] = []
         flags = []
+
+        def put(depth: int, cols: dict[str, Column]) -> None:
+            stages.extend({} for _ in range(depth + 1 - len(stages)))
+            stages[depth].update(cols)
+
         for s in scales:
             lb = max(s, 20)
             avg, ratio = F.col(f"_sma_close_{s}"), f"_q{s}"
-            stages[1] |= R.sma(fr, s)
             val = F.when(avg > 0, F.try_divide(F.col("close"), avg)).otherwise(F.lit(1.0))
-            stages[2] |= {ratio: F.when(avg.isNotNull(), val)}
-            for d, st in enumerate(R.extent_stages(fr, ratio, lb)):
-                if len(stages) <= 3 + d:
-                    stages.append({})
-                stages[3 + d] |= st
+            for d, st in enumerate([*R.sma(fr, s), {ratio: F.when(avg.isNotNull(), val)}, *R.extent_stages(fr, ratio, lb)]):
+                put(d, st)
             flags.append(R.pir(ratio, lb))
         n = float(len(scales))
         high = sum((F.when(f > pct, 1).otherwise(0) for f in flags), F.lit(0))
@@ -139,7 +140,7 @@ def detect_pir(s: int, name: str = "pir_detect") -> Spec:
     def spec(fr: Frames) -> Calc:
         col = f"_rd{s}"
         ratio = {col: F.try_divide(F.col("close"), F.col(f"_sma_close_{s}"))}
-        stages = [R.csum(fr), R.sma(fr, s), ratio, *R.extent_stages(fr, col, lb)]
+        stages = [*R.sma(fr, s), ratio, *R.extent_stages(fr, col, lb)]
         return Calc(stages, {name: R.pir(col, lb)}, lookback=s + lb)
 
     return spec

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions.scalars import clamp_unit, safe_log_ratio
-from tidemark.layout import UNB, Calc, Frames, Spec, affine_scan_stages, decay_rows
+from tidemark.layout import UNB, Calc, Frames, Spec, affine_scan_stages, compute, decay_rows, running_carry
 
 # GARCH and HAR coefficients, floors and normalisers.
 GJR_ALPHA, GJR_BETA, GJR_GAMMA = 0.03, 0.90, 0.08
@@ -39,19 +39,16 @@ def _together(*parts: list[dict[str, Column]]) -> list[dict[str, Column]]:
 # --------------------------------------------------------------------------- averages, position in range
 
 
-def running_sum(col: str = "close", name: str = "csum") -> Spec:
-    """Inclusive running sum of a series; one chunk only (longer series: `running_carry`)."""
-
-    def spec(fr: Frames) -> Calc:
-        return Calc([{f"_csum_{col}": fr.running(F.col(col))}], {name: F.col(f"_csum_{col}")})
-
-    return spec
+def running_sum(bars: DataFrame, col: str = "close", name: str = "csum", **layout) -> DataFrame:
+    """Inclusive running sum of each series from its first bar; chunks hand their totals on."""
+    keep = {k: layout[k] for k in ("chunk_rows", "max_bars") if k in layout}
+    return running_carry(compute(bars, [], **layout), {name: F.col(col)}, **keep)
 
 
 def sma(s: int, col: str = "close", name: str | None = None) -> Spec:
     def spec(fr: Frames) -> Calc:
         return Calc(
-            [R.csum(fr, col), R.sma(fr, s, col)], {name or f"sma_{s}": F.col(f"_sma_{col}_{s}")}, lookback=s
+            R.sma(fr, s, col), {name or f"sma_{s}": F.col(f"_sma_{col}_{s}")}, lookback=s
         )
 
     return spec
@@ -75,7 +72,7 @@ def scale_pir_stages(fr: Frames, s: int, lb: int) -> tuple[list[dict[str, Column
     avg = F.col(f"_sma_close_{s}")
     ratio = f"_r{s}"
     stages = _seq(
-        [R.csum(fr), R.sma(fr, s), {ratio: F.when(avg > 0, F.try_divide(close_(), avg)).otherwise(F.lit(1.0))}],
+        [*R.sma(fr, s), {ratio: F.when(avg > 0, F.try_divide(close_(), avg)).otherwise(F.lit(1.0))}],
         R.extent_stages(fr, ratio, lb),
     )
     pad = F.when(F.col("bar") < lb - 1, F.lit(1.0))
@@ -238,7 +235,7 @@ def sma_slope(s: int, name: str | None = None) -> Spec:
         cur, prev = F.col(f"_sma_close_{s}"), F.col(f"_sma_close_{s}_d")
         val = F.when(cur > 0, F.try_divide(cur - prev, F.lit(float(d)) * cur) * F.lit(1000.0)).otherwise(F.lit(0.0))
         return Calc(
-            [R.csum(fr), R.sma(fr, s), {f"_sma_close_{s}_d": fr.lag(f"_sma_close_{s}", d)}],
+            [*R.sma(fr, s), {f"_sma_close_{s}_d": fr.lag(f"_sma_close_{s}", d)}],
             {name or f"sma_slope_s{s}": F.when(cur.isNotNull() & prev.isNotNull(), val)},
             lookback=s + d,
         )
@@ -305,11 +302,8 @@ def gjr_asym(name: str = "gjr_asym") -> Spec:
         first = F.col("bar") == 0
         n = LONG_RUN_WINDOW
         warm = F.col("bar") >= n - 1
-        gone = F.coalesce(F.lag("_csum_r2", n).over(fr.order), F.lit(0.0))
-        lr_var = F.greatest(
-            F.when(warm, (F.col("_csum_r2") - F.col("_csum_r2_gone")) / F.lit(float(n))).otherwise(F.col("_r2")),
-            F.lit(GJR_FLOOR),
-        )
+        sum_st, total = R.window_sum(fr, "_r2", n)
+        lr_var = F.greatest(F.when(warm, total / F.lit(float(n))).otherwise(F.col("_r2")), F.lit(GJR_FLOOR))
         omega = F.greatest(F.col("_lrv") * F.lit(1.0 - GJR_ALPHA - GJR_BETA - GJR_GAMMA / 2.0), F.lit(GJR_FLOOR))
         pr2 = F.when(first, F.col("_lrv")).otherwise(F.col("_pr2"))
         lev = F.when(F.col("_plr") < 0, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -322,8 +316,8 @@ def gjr_asym(name: str = "gjr_asym") -> Spec:
             {"_pc": fr.lag("close", 1)},
             {"_lr": safe_log_ratio(close_(), F.coalesce(F.col("_pc"), close_()))},
             {"_r2": F.col("_lr") * F.col("_lr"), "_plr": fr.lag("_lr", 1)},
-            {"_csum_r2": fr.running(F.col("_r2")), "_pr2": fr.lag("_r2", 1)},
-            {"_csum_r2_gone": gone},
+            {"_pr2": fr.lag("_r2", 1)},
+            *sum_st,
             {"_lrv": lr_var},
             *[x | y for x, y in zip(g_st, s_st)],
         ]

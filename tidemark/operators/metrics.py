@@ -90,13 +90,15 @@ def constant_score_check(df: DataFrame, score: str, by: Sequence[str] = (), eps:
 
 
 def tune_threshold(
-    df: DataFrame, tolerance: int, grid: int = 50, by: Sequence[str] = ("fold",), score: str = "score", true: str = "is_true"
+    df: DataFrame, tolerance: int, grid: int = 50, by: Sequence[str] = ("fold",), score: str = "score", true: str = "is_true",
+    budget: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Threshold with the best event F1 per group; ties go to the highest, a group without events gets 0.5.
 
-    Candidates are `grid` quantiles of the score and the value just below the maximum. Candidates that flag more than
-    max(512, 6 x events) rows are dropped before any matching. Each flagged row carries the list of budgeted
-    candidates it passes, so only rows that some candidate flags are repeated.
+    Candidates are `grid` quantiles of the score and the value just below the maximum. With a `budget` (least, factor)
+    candidates that flag more than max(least, factor x events) rows are dropped before any matching; (512, 6) is the
+    setting of a matcher whose time is cubic, and matching here is linear, so there is none by default. Each flagged
+    row carries the list of candidates it passes, so only rows that some candidate flags are repeated.
     """
     keys = list(by)
     rows = materialise(df.select(*keys, "symbol", "bar", F.col(score).alias("_s"), F.col(true).alias("_y")))
@@ -114,8 +116,9 @@ def tune_threshold(
     flagged = F.aggregate(
         "_cs", F.lit(0).cast("long"), lambda a, x: a + F.when(x["_k"] <= F.col("_i"), x["c"]).otherwise(F.lit(0).cast("long"))
     )
-    budget = F.greatest(F.lit(512).cast("long"), F.col("n_true") * 6)
-    kept = spread.withColumn("n_flagged", flagged).filter((F.col("n_flagged") <= budget) & (F.col("n_true") > 0))
+    kept = spread.withColumn("n_flagged", flagged).filter(F.col("n_true") > 0)
+    if budget is not None:
+        kept = kept.filter(F.col("n_flagged") <= F.greatest(F.lit(budget[0]).cast("long"), F.col("n_true") * budget[1]))
     kept = materialise(kept)
     reach = kept.groupBy(*keys).agg(F.max("_i").alias("_last"))
     # flagged rows once per candidate they pass, truths once per candidate

@@ -16,9 +16,11 @@ from tidemark.layout import Calc, Frames, compute
 from tidemark.operators.ranking import average_precision, with_group_rank
 from tidemark.session import materialise
 
+# Sampling of negatives, grid of boosts, and limits of the selection.
 NEG_PER_POS = 40
 BOOST_GRID = (5.0, 10.0, 20.0, 40.0)
 RECOVERY_FLOOR, DEPLOY_F1_FRAC, NEAR_TIE = 0.70, 0.50, 0.98
+ISOTONIC_STEPS = 10_000
 
 
 @dataclass(frozen=True)
@@ -54,8 +56,15 @@ class StudentConfig:
             raise ValueError("max_depth and n_trees must be >= 1")
 
 
+#: Undefined values count as this: below every value, so that fitting and scoring send them left at every split, as rules do.
+UNDEFINED = -1e300
+
+
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep").transform(df)
+    """Feature vector; undefined values (null, NaN) are UNDEFINED in fits and scores alike."""
+    filled = {f"_f{i}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(UNDEFINED)) for i, c in enumerate(cols)}
+    out = VectorAssembler(inputCols=list(filled), outputCol="features").transform(df.withColumns(filled))
+    return out.drop(*filled)
 
 
 def positive_score(df: DataFrame) -> DataFrame:
@@ -176,14 +185,22 @@ def sequence_windows(df: DataFrame, cols: Sequence[str], window: int, allowed: C
 # --------------------------------------------------------------------------- calibration, students
 
 
-def fit_isotonic(df: DataFrame, score: str, y: str, weight: str | None = None):
+def fit_isotonic(df: DataFrame, score: str, y: str, weight: str | None = None, max_steps: int = ISOTONIC_STEPS):
     """Monotone map from score to probability; None (identity) with fewer than two classes.
 
-    Rows with equal score are merged first, so a score shared by many rows costs one.
+    Rows with equal score are merged first, so a score shared by many rows costs one. The library pools the steps on
+    the driver; if there are more than `max_steps`, rows are merged in as many equal widths of the score, at their
+    mean score.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
-    steps = df.groupBy(F.col(score).cast("double").alias("_x")).agg(
-        (F.sum(w * F.col(y)) / F.sum(w)).alias("_y"), F.sum(w).alias("_w")
+    x = F.col(score).cast("double")
+    distinct = df.select(x.alias("_x")).distinct().limit(max_steps + 1).count()
+    key = x
+    if distinct > max_steps:
+        least, most = df.agg(F.min(x), F.max(x)).first()
+        key = F.floor((x - F.lit(least)) / F.lit((most - least) / max_steps))
+    steps = df.groupBy(key.alias("_k")).agg(
+        F.avg(x).alias("_x"), (F.sum(w * F.col(y)) / F.sum(w)).alias("_y"), F.sum(w).alias("_w")
     )
     lo, hi = df.agg(F.min(y), F.max(y)).first()
     if lo == hi:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,17 @@ from pyspark.sql import functions as F
 from tidemark.layout import global_rank
 
 
+#: Combinations of blocks are a list in the plan and a broadcast table: C(16, 8).
+MAX_COMBINATIONS = 12_870
+
+
+def _masks(n_splits: int) -> list[int]:
+    """Bit masks of all halves of the blocks, in order of the combinations."""
+    if math.comb(n_splits, n_splits // 2) > MAX_COMBINATIONS:
+        raise ValueError(f"{n_splits} blocks have more than {MAX_COMBINATIONS} combinations")
+    return [sum(1 << b for b in c) for c in combinations(range(n_splits), n_splits // 2)]
+
+
 def _performance(n: Column, s: Column, ss: Column) -> Column:
     """mean / sample std from sums; zero spread (to rounding) falls back to the mean."""
     mean = s / n
@@ -41,8 +53,7 @@ def combo_performance(perf: DataFrame, n_splits: int) -> DataFrame:
 
     Block sums are additive, so raw rows are read once; each (block, config) row is repeated per combination.
     """
-    combos = list(combinations(range(n_splits), n_splits // 2))
-    picks = F.array(*[F.lit(sum(1 << b for b in c)) for c in combos])
+    picks = F.array(*[F.lit(m) for m in _masks(n_splits)])
     rows = block_stats(perf, n_splits).select("*", F.posexplode(picks).alias("combo", "_mask"))
     inside = F.getbit(F.col("_mask").cast("long"), F.col("block")) == 1
     parts = {}
@@ -69,7 +80,7 @@ def pbo_logits(perf: DataFrame, n_splits: int = 10) -> DataFrame:
         .groupBy("combo")
         .agg(F.min("config").alias("best_config"), F.min_by("oos_perf", "config").alias("_ref"))
     )
-    # one row per combination: C(n_splits, n_splits / 2) rows
+    # one row per combination: MAX_COMBINATIONS at most, so both can be broadcast
     ranked = (
         table.join(F.broadcast(best), "combo")
         .groupBy("combo", "best_config")
@@ -93,7 +104,7 @@ def pbo_cscv(perf: DataFrame, n_splits: int = 10) -> DataFrame:
 
 def out_of_sample_blocks(perf: DataFrame, n_splits: int) -> DataFrame:
     """(combo, block) pairs outside the in-sample half; combos count the masks in ascending order from 1."""
-    masks = sorted(sum(1 << b for b in c) for c in combinations(range(n_splits), n_splits // 2))
+    masks = sorted(_masks(n_splits))
     blocks = block_stats(perf, n_splits).select("block").distinct()
     rows = blocks.select("block", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("_i", "_m"))
     keep = F.getbit(F.col("_m").cast("long"), F.col("block")) == 0

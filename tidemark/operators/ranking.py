@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import scored_only
@@ -45,11 +45,15 @@ def average_precision(
 def _top(df: DataFrame, score: str, pos: str, k: int) -> DataFrame:
     if k < 1:
         raise ValueError(f"k must be >= 1, got {k}")
-    return df.orderBy(F.col(score).desc(), F.col(pos)).limit(k)
+    best = df.orderBy(F.col(score).desc(), F.col(pos)).limit(k)
+    # at most k rows are counted
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    short = F.raise_error(F.concat(F.lit(f"k is {k}, but there are only "), n.cast("string"), F.lit(" rows"))).cast("boolean")
+    return best.withColumn("_n", F.when(n < k, short).otherwise(F.lit(True))).filter("_n").drop("_n")
 
 
 def top_k(df: DataFrame, score: str, pos: str, k: int) -> DataFrame:
-    """The k rows with the highest score, ties by ascending position."""
+    """The k rows with the highest score, ties by ascending position; fewer rows than k fail."""
     return _top(df, score, pos, k)
 
 

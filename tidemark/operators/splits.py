@@ -112,7 +112,10 @@ def leaks(folds: DataFrame, horizon: int, embargo: int) -> DataFrame:
     test = folds.filter("role = 'test'").withColumnRenamed("fold", "block")
     b = bands(test, horizon, embargo).select(F.col("block").alias("fold"), "symbol", "lo", "hi")
     train = folds.filter("role = 'train'")
-    joined = train.join(b, ["fold", "symbol"], "left")
+    # repeated once per chunk of bars, so that a long series is spread over many tasks
+    sizes = folds.groupBy("symbol").agg(F.floor(F.max("bar") / F.lit(CHUNK_ROWS)).alias("_last"))
+    spread = b.join(sizes, "symbol").withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
+    joined = train.withColumn("_ck", F.floor(F.col("bar") / F.lit(CHUNK_ROWS))).join(spread, ["fold", "symbol", "_ck"], "left")
     inside = F.coalesce(F.col("bar").between(F.col("lo"), F.col("hi")), F.lit(False))
     return joined.groupBy("fold").agg(F.count(F.lit(1)).alias("n_train"), F.sum(inside.cast("long")).alias("n_leaked"))
 

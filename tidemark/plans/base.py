@@ -76,13 +76,13 @@ def bars_event(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
 
 def _bars_sql(src: str, key: str, ts: str, price: str, qty: str, width: int, order: str) -> str:
     """Bars plus position: the CTEs `raw` and `bars` (symbol, time, ohlcv, bar, n_bars)."""
-    return f"""raw AS (
+    return f"""raw AS MATERIALIZED (
   SELECT CAST({key} AS VARCHAR) AS symbol,
          CAST(floor(epoch({ts}) / {width}) * {width} AS BIGINT) AS time,
          arg_min({price}, {order}) AS open, max({price}) AS high, min({price}) AS low,
          arg_max({price}, {order}) AS close, sum(CAST({qty} AS DOUBLE)) AS volume
   FROM {src} GROUP BY 1, 2),
-bars AS (
+bars AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS bar,
          count(*) OVER (PARTITION BY symbol) AS n_bars FROM raw)"""
 

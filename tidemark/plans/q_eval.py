@@ -95,12 +95,12 @@ def e3(spark, sf_dir):
 
 
 _SLICES = f"""{SCORED},
-tagged AS (SELECT *, CASE WHEN time < 1009843200 THEN 'early' ELSE 'late' END AS era FROM scored),
+tagged AS (SELECT *, CASE WHEN time < 946684800 THEN 'early' ELSE 'late' END AS era FROM scored),
 {greedy_sql('tagged', 'era, symbol')},
 sl AS (
   SELECT era, symbol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn
   FROM counts GROUP BY GROUPING SETS ((era, symbol), (era), ()))"""
-CUT = 1_009_843_200
+CUT = 946_684_800  # 2000-01-01, inside the span of the ticks
 
 
 def _era(df):

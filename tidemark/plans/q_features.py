@@ -88,7 +88,14 @@ def s14(spark, sf_dir):
 
 # --------------------------------------------------------------------------- window primitives
 
-feature("f1_csum", {"csum": X.running_sum()}, [{"csum": Q.over("sum(close)")}], digits=2)
+
+
+@query("f1_csum", f"WITH {SUPP} SELECT symbol, time, {r6(Q.over('sum(close)'), 2)} AS csum FROM bars")
+def f1(spark, sf_dir):
+    bars, lay = B.bars_supp(spark, sf_dir)
+    return rounded(X.running_sum(bars, **lay).select("symbol", "time", "csum"), "csum", digits=2)
+
+
 feature(
     "f2_sma",
     {f"sma_{s}": X.sma(s) for s in (5, 20, 100)},

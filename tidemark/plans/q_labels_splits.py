@@ -129,7 +129,10 @@ def l6(spark, sf_dir):
     return df.groupBy("top_score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l9_truncation_check")
+@query(
+    "l9_truncation_check",
+    "SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS bar, CAST(0 AS DOUBLE) AS top_score, CAST(0 AS DOUBLE) AS bottom_score WHERE false",
+)
 def l9(spark, sf_dir):
     """Empty: labels do not look past their horizon."""
     bars, lay = B.bars_flag(spark, sf_dir)
@@ -349,7 +352,10 @@ def v5b(spark, sf_dir):
     return V.purged_folds(_indexed(spark, sf_dir), H, E, K, mode="expanding", keep_purged=True)
 
 
-@query("v6_leak_check", f"WITH {folds_sql()} SELECT fold, CAST(count(*) AS BIGINT) AS n_train, CAST(0 AS BIGINT) AS n_leaked FROM folds WHERE role = 'train' GROUP BY fold")
+@query("v6_leak_check", f"""WITH {folds_sql()},
+t AS (SELECT fold, symbol, min(bar) - {H} AS lo, max(bar) + {E} AS hi FROM folds WHERE role = 'test' GROUP BY 1, 2)
+SELECT f.fold, CAST(count(*) AS BIGINT) AS n_train, CAST(sum(CASE WHEN f.bar BETWEEN t.lo AND t.hi THEN 1 ELSE 0 END) AS BIGINT) AS n_leaked
+FROM folds f LEFT JOIN t USING (fold, symbol) WHERE f.role = 'train' GROUP BY f.fold""")
 def v6(spark, sf_dir):
     return V.leaks(V.purged_folds(_indexed(spark, sf_dir), H, E, K), H, E)
 

@@ -190,7 +190,7 @@ def o4(spark, sf_dir):
 
 # --------------------------------------------------------------------------- scaling and sampling
 
-CUT = 1_009_843_200
+CUT = 946_684_800  # 2000-01-01, inside the span of the ticks
 
 
 @query(

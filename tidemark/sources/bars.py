@@ -16,9 +16,10 @@ CSV_SCHEMA = T.StructType(
     [T.StructField("time", T.LongType())]
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "Volume")]
 )
+# Fixed value: how exports are named.
 FILE_PATTERN = r"^(.+)_([^_,]+), (\d+|1D)_([0-9a-f]+)\.csv$"
-# Exports known to repeat another file.
-KNOWN_DUPLICATES: tuple[str, ...] = ("COMEX_DL_SI1!, 1_8d38f.csv",)
+# Exports known to repeat another file of a corpus; none unless the caller names them.
+KNOWN_DUPLICATES: tuple[str, ...] = ()
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
@@ -32,12 +33,12 @@ def read_bars(
 ) -> DataFrame:
     """Bars from a folder of CSV files, with file name and a line order for keep-last.
 
-    Bars are not inferred. With `since`, rows older than `lookback` bars before it are not read.
+    Bars are not inferred. With `since`, rows older than `lookback` bars before it are not read. `line_no` orders the
+    lines of a file however it is split: by where the split begins, then by place in the split.
     """
     df = spark.read.schema(CSV_SCHEMA).option("header", True).csv(path)
-    df = df.withColumns(
-        {"file_name": F.url_decode(F.col("_metadata.file_name")), "line_no": F.monotonically_increasing_id()}
-    )
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    df = df.withColumns({"file_name": F.url_decode(F.col("_metadata.file_name")), "line_no": place})
     return df if since is None else df.filter(F.col("time") >= since - lookback * bar_seconds)
 
 
@@ -54,8 +55,9 @@ def with_provenance(df: DataFrame, strict: bool = False) -> DataFrame:
     """Add provenance columns; `strict` fails on a name that does not match."""
     out = df.withColumns(provenance(F.col("file_name")))
     if strict:
-        bad = F.raise_error(F.concat(F.lit("unparsable file name: "), F.col("file_name"))).cast("string")
-        out = out.withColumn("ticker", F.when(F.col("ticker").isNull(), bad).otherwise(F.col("ticker")))
+        # a filter runs whichever columns are read afterwards
+        bad = F.raise_error(F.concat(F.lit("unparsable file name: "), F.col("file_name"))).cast("boolean")
+        out = out.filter(F.when(F.col("ticker").isNull(), bad).otherwise(F.lit(True)))
     return out
 
 
@@ -79,23 +81,28 @@ def collisions(df: DataFrame) -> DataFrame:
 
 
 def resolve_collisions(df: DataFrame, policy: str = "raise") -> DataFrame:
-    """`first`: the first file by name wins; `raise`: a collision fails the job."""
+    """`first`: the first file by name wins; `raise`: a collision fails the job.
+
+    Rows without provenance collide with nothing and stay.
+    """
     files = df.select("ticker", "tf", "file_name").distinct()
     firsts = files.groupBy("ticker", "tf").agg(F.min("file_name").alias("_first"), F.count(F.lit(1)).alias("_n"))
     if policy == "first":
         keep = firsts.select("ticker", "tf", F.col("_first").alias("file_name"))
-        return df.join(keep, ["ticker", "tf", "file_name"], "left_semi")
+        known = df.join(keep, ["ticker", "tf", "file_name"], "left_semi")
+        return known.unionByName(df.filter(F.col("ticker").isNull() | F.col("tf").isNull()))
     if policy != "raise":
         raise ValueError(f"unknown policy {policy!r}")
     msg = F.concat(F.lit("several files for "), F.col("ticker"), F.lit(" "), F.col("tf"))
     checked = firsts.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(msg).cast("boolean")).otherwise(F.lit(True)))
-    return df.join(checked.filter("_ok").select("ticker", "tf"), ["ticker", "tf"])
+    return df.join(checked.select("ticker", "tf", "_ok"), ["ticker", "tf"], "left").filter(F.coalesce("_ok", F.lit(True))).drop("_ok")
 
 
 def normalize_bars(df: DataFrame, key: Sequence[str] = ("symbol",), ingest: Sequence[str] = ("file_name", "line_no")) -> DataFrame:
     """Canonical columns and types, one bar per (key, time): the last ingested wins.
 
-    `max_by` keeps the aggregation partial on the map side, so repeated keys shrink before the shuffle.
+    The aggregation is partial, so repeated keys shrink before the shuffle. Packed bars and ingest keys make it sort
+    each map task's rows, as hash aggregation needs values of fixed size.
     """
     if "Volume" in df.columns:
         df = df.withColumnRenamed("Volume", "volume")
@@ -159,7 +166,8 @@ def ticks_to_bars(
         bucket(ts, seconds).alias("time"),
         price.cast("double").alias("_p"),
         qty.cast("double").alias("_q"),
-        F.struct(*order).alias("_o"),
+        # a single key goes in bare: then the aggregation hashes rows instead of sorting them
+        (order[0] if len(order) == 1 else F.struct(*order)).alias("_o"),
     )
     bars = t.groupBy("_k", "time").agg(
         F.min_by("_p", "_o").alias("open"),
