@@ -15,8 +15,8 @@ from tidemark.llm.wordhash import blocks, hash_ranges
 OTHER, LETTER, NUMBER, WHITE, UNSURE = range(5)
 
 #: White space of the split pattern, and control characters on which regex libraries differ.
-WHITE_SPACE = "\t\n\x0b\x0c\r \xa0                　"
-CONTROLS = "\x1c\x1d\x1e\x1f\x85᠎​⁠﻿"
+WHITE_SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CONTROLS = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff"
 
 _state: dict = {}
 

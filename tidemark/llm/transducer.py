@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.spmodel import MARK, mergeable_pieces
 from tidemark.llm.tables import arrow_rows
 from tidemark.llm.wordhash import blocks
 
-MARK = "▁"
 CHUNK = 512
 SHIFT = 64  # change of count is kept as change + SHIFT in the low 8 bits
 MAX_STATES = 200_000  # a worker that holds more begins anew; this changes no result
@@ -50,13 +50,9 @@ def merge(pieces: dict[str, float], text: str) -> list[str]:
 
 
 class Transducer:
-    """States and transitions of one model; `pieces` maps each mergeable piece to its score."""
+    """States and transitions of one model; `pieces` maps each mergeable piece to its score (see `mergeable_pieces`)."""
 
     def __init__(self, pieces: dict[str, float]):
-        if any(MARK in p.lstrip(MARK) for p in pieces):
-            raise ValueError("pieces cross white-space marks")
-        if not {c for p in pieces for c in p} <= pieces.keys():
-            raise ValueError("a piece holds a character that is no piece")
         self.pieces = pieces
         self.child: list[dict[str, int]] = [{}]
         self.piece: list[str | None] = [None]
@@ -221,19 +217,8 @@ class Transducer:
 def load(path: str) -> Transducer:
     """Transducer of a SentencePiece BPE model, one per Python worker."""
     if path not in _state:
-        import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as proto
-
-        model = proto.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
-        spec, kinds = model.normalizer_spec, proto.ModelProto.SentencePiece
-        if model.trainer_spec.model_type != proto.TrainerSpec.BPE or not model.trainer_spec.byte_fallback:
-            raise ValueError("a BPE model with byte fallback is needed")
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or any(p.type == kinds.USER_DEFINED for p in model.pieces):
-            raise ValueError("a model without text normalization and user-defined pieces is needed")
-        _state[path] = Transducer({p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}), sentencepiece
-    return _state[path][0]
+        _state[path] = Transducer(mergeable_pieces(path))
+    return _state[path]
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
