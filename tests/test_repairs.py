@@ -120,3 +120,15 @@ def test_isotonic_steps_are_bounded(spark):
     assert len(few.boundaries) <= 51
     a, b = (M.apply_isotonic(df, m, "s").select("s", "calibrated").toPandas().sort_values("s")["calibrated"].to_numpy() for m in (whole, few))
     assert np.abs(a - b).mean() < 0.02
+
+
+def test_late_bars_are_left_out(spark, tmp_path):
+    from tidemark.streaming import stream as T
+
+    cols = "symbol string, time long, high double, low double, close double"
+    for rows in ([("a", t, 2.0 + t, 1.0 + t, 1.5 + t) for t in range(10, 20)], [("a", t, 2.0, 1.0, 1.5) for t in (5, 19, 21, 20)] + [("b", 3, 2.0, 1.0, 1.5)]):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    src = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    out = T.run_to_table(T.stream_features(src, 3)).collect()
+    assert sorted((r.symbol, r.time) for r in out) == [("a", t) for t in range(10, 22)] + [("b", 3)]
+    assert max(r.up_streak_norm for r in out if r.time >= 20) == 0

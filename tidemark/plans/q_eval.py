@@ -340,7 +340,7 @@ def e15(spark, sf_dir):
 # --------------------------------------------------------------------------- overfitting
 
 WEEK = 7 * DAY
-S_BLOCKS = 6
+S_BLOCKS = 10
 _PERF = f"""perf AS (
   SELECT CAST(floor(epoch(l_shipdate) / {WEEK}) AS BIGINT) AS t, s_nationkey AS config, avg(l_discount) AS value
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),

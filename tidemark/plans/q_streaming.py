@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.layout import compute
 from tidemark.operators import features as X
 from tidemark.plans import base as B
 from tidemark.plans import sqltext as Q
-from tidemark.plans.base import EVENT, HOUR, query, r6, rounded
+from tidemark.plans.base import EVENT, HOUR, ORACLES, query, r6, rounded
 from tidemark.plans.q_detector import cooldown_sql
 from tidemark.plans.q_labels_splits import LOOSE, labels_sql
-from tidemark.session import materialise
+from tidemark.session import materialise, scratch_folder
 from tidemark.sources.bars import instant
 from tidemark.streaming import stream as T
 
 
-def _as_stream(df):
-    """A materialised table, read as a stream."""
-    kept = materialise(df)
-    return df.sparkSession.readStream.schema(kept.schema).parquet(kept.inputFiles()[0].rsplit("/", 1)[0])
+def _as_stream(df, parts: int = 1):
+    """A materialised table, read as a stream of `parts` micro-batches that follow each other in time."""
+    kept = materialise(df if parts == 1 else df.repartitionByRange(parts, "time"))
+    source = df.sparkSession.readStream.schema(kept.schema)
+    if parts > 1:
+        # files are numbered in order of time, and written one after the other as the source takes them by age
+        folder = f"{scratch_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+        for i, f in enumerate(sorted(kept.inputFiles())):
+            df.sparkSession.read.schema(kept.schema).parquet(f).coalesce(1).write.mode("append").parquet(folder)
+        return source.option("maxFilesPerTrigger", 1).parquet(folder)
+    return source.parquet(kept.inputFiles()[0].rsplit("/", 1)[0])
 
 
 @query(
@@ -75,3 +84,16 @@ _lt, _ll = labels_sql(LOOSE)
 def t4(spark, sf_dir):
     bars, _ = B.bars_event(spark, sf_dir)
     return rounded(T.run_to_table(T.stream_labels(_as_stream(bars), LOOSE)), "top_score", "bottom_score")
+
+
+@query("t2_stream_features_batches", ORACLES["t2_stream_features"])
+def t2b(spark, sf_dir):
+    """The same in several micro-batches: state passes from one to the next."""
+    out = T.run_to_table(T.stream_features(_as_stream(B.bars_event(spark, sf_dir)[0], 4)))
+    return rounded(out, "atr", "gjr_asym", "up_streak_norm")
+
+
+@query("t4_stream_labels_batches", ORACLES["t4_stream_labels"])
+def t4b(spark, sf_dir):
+    bars, _ = B.bars_event(spark, sf_dir)
+    return rounded(T.run_to_table(T.stream_labels(_as_stream(bars, 4), LOOSE)), "top_score", "bottom_score")

@@ -1,7 +1,10 @@
 """Structured Streaming forms of the bar-at-a-time operators.
 
-State per symbol is a few numbers or one bounded buffer. Within a micro-batch the bars of a symbol are put in time
-order, so a micro-batch should hold a bounded stretch of time (set by the trigger or the file limit of the source).
+State per symbol is a few numbers or one bounded buffer, and the time of the last bar. Within a micro-batch the bars
+of a symbol are put in time order, so a micro-batch should hold a bounded stretch of time (set by the trigger or the
+file limit of the source). A bar that isn't newer than the last one of an earlier micro-batch comes too late for
+recursions that have passed it: it is left out and gives no row. With `idle_ms` the state of a symbol without bars for
+so long is freed, and the symbol begins anew.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def stream_bars(
     """Ticks to tumbling bars; ticks later than `delay` behind the newest are dropped, bars are final when emitted."""
     t = sdf.withWatermark(ts, delay).select(
         key.cast("string").alias("symbol"), F.col(ts), price.cast("double").alias("_p"), qty.cast("double").alias("_q"),
-        F.struct(*order).alias("_o"),
+        (order[0] if len(order) == 1 else F.struct(*order)).alias("_o"),
     )
     agg = t.groupBy("symbol", F.window(ts, width)).agg(
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
@@ -49,22 +52,35 @@ def stream_bars(
 
 
 def _stateful(
-    sdf: DataFrame, out: str, state_ddl: str, step: Callable[[dict, pd.DataFrame], pd.DataFrame], fresh: Callable[[], dict]
+    sdf: DataFrame, out: str, state_ddl: str, step: Callable[[dict, pd.DataFrame], pd.DataFrame], fresh: Callable[[], dict],
+    idle_ms: int | None = None,
 ) -> DataFrame:
-    """Run `step(state, bars in time order)` per symbol; the state dict is kept as columns of `state_ddl`."""
+    """Run `step(state, newer bars in time order)` per symbol; the state dict is kept as columns of `state_ddl`."""
     names = [f.split()[0] for f in state_ddl.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names, state.get)) if state.exists else fresh()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *kept, last = state.get if state.exists else (None, None)
+        held = dict(zip(names, kept)) if state.exists else fresh()
         pdf = pd.concat(list(batches)).sort_values("time", kind="stable")
-        made = step(held, pdf)
-        state.update(tuple(held[n] for n in names))
-        yield made
-
-    return sdf.groupBy("symbol").applyInPandasWithState(run, out, state_ddl, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_features(sdf: DataFrame, atr_len: int = 14, cap: int = 5) -> DataFrame:
+        if last is not None:
+            pdf = pdf[pdf["time"] > last]
+        if len(pdf):
+            made = step(held, pdf)
+            last = int(pdf["time"].iloc[-1])
+            state.update((*(held[n] for n in names), last))
+            if len(made):
+                yield made
+        if idle_ms is not None and state.exists:
+            state.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return sdf.groupBy("symbol").applyInPandasWithState(run, out, f"{state_ddl}, last_time long", "append", timeout)
+
+
+def stream_features(sdf: DataFrame, atr_len: int = 14, cap: int = 5, idle_ms: int | None = None) -> DataFrame:
     """(symbol, time, atr, gjr_asym, up_streak_norm) from one pass over arriving bars."""
     win, beta = X.LONG_RUN_WINDOW, X.GJR_BETA
     omega_k = 1.0 - X.GJR_ALPHA - beta - X.GJR_GAMMA / 2.0
@@ -104,11 +120,11 @@ def stream_features(sdf: DataFrame, atr_len: int = 14, cap: int = 5) -> DataFram
     state = "n long, pc double, plr double, pr2 double, g double, s double, atr double, streak long, r2 array<double>"
     return _stateful(
         sdf.select("symbol", "time", "high", "low", "close"),
-        "symbol string, time long, atr double, gjr_asym double, up_streak_norm double", state, step, fresh,
+        "symbol string, time long, atr double, gjr_asym double, up_streak_norm double", state, step, fresh, idle_ms,
     )
 
 
-def stream_detect(sdf: DataFrame, cooldown: int) -> DataFrame:
+def stream_detect(sdf: DataFrame, cooldown: int, idle_ms: int | None = None) -> DataFrame:
     """(symbol, time, fired, signal) from arriving (symbol, time, candidate): cooldown and rising edge."""
 
     def fresh() -> dict:
@@ -125,11 +141,11 @@ def stream_detect(sdf: DataFrame, cooldown: int) -> DataFrame:
 
     return _stateful(
         sdf.select("symbol", "time", "candidate"), "symbol string, time long, fired boolean, signal boolean",
-        "since long, last boolean", step, fresh,
+        "since long, last boolean", step, fresh, idle_ms,
     )
 
 
-def stream_labels(sdf: DataFrame, cfg: OracleConfig) -> DataFrame:
+def stream_labels(sdf: DataFrame, cfg: OracleConfig, idle_ms: int | None = None) -> DataFrame:
     """(symbol, time, top_score, bottom_score): a bar's label leaves once `horizon` later bars have arrived."""
     h, nest, weights = cfg.horizon, cfg.scale_nest, cfg.weights()
     reach = nest[-1]
@@ -168,5 +184,5 @@ def stream_labels(sdf: DataFrame, cfg: OracleConfig) -> DataFrame:
 
     return _stateful(
         sdf.select("symbol", "time", "high", "low"), "symbol string, time long, top_score double, bottom_score double",
-        "t array<long>, hi array<double>, lo array<double>, done long", step, fresh,
+        "t array<long>, hi array<double>, lo array<double>, done long", step, fresh, idle_ms,
     )
