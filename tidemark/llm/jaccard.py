@@ -4,9 +4,9 @@ Rows of the incidence are cut into slots of documents, columns into buckets of n
 block travels as one compressed list. A bucket counts each column; columns with one document can't add to any
 overlap and fall out. Summed over buckets, what is left bounds a document's overlap with every other from above, and
 documents below the bound that their size asks for are done. For the others, columns are taken rarest first: a pair
-that can reach the similarity meets within the first few columns of both. Pairs that meet are discarded when the
-sizes and what is left of both rows bound their overlap below what they need; overlaps of the rest are counted over
-all columns. Documents with equal sets are one class, and a class stands for them.
+that can reach the similarity meets within the first few columns of both. Blocks of documents that meet are discarded
+when the sizes and what is left of both rows bound every overlap below what is needed; for the rest the product of
+both blocks' incidences adds up overlap counts, block of columns by block of columns. Documents with equal sets are one class, and a class stands for them.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linking import link_groups
+from tidemark.llm.linking import Forest, link_groups
 from tidemark.llm.packed import bucket_of, pack_numbers, pack_parts, unpack_numbers, unpack_parts
 from tidemark.llm.tables import groups_for, rows_of
-from tidemark.llm.wordhash import text_shingles
+from tidemark.llm.wordhash import distinct, text_shingles
 from tidemark.session import materialise
 
 SHINGLE = 5
@@ -34,7 +34,8 @@ NUMBER_BITS = np.uint64(0xFFFF)
 
 PARTS = "slot long, bucket int, head boolean, data binary, doc_ids array<long>, nodes array<binary>"
 PARTS_NAMES = ["slot", "bucket", "head", "data", "doc_ids", "nodes"]
-SETS = "doc_id long, n long, node binary, prefix binary, columns binary"
+SETS = "doc_id long, n long, node binary, center double, prefix binary, columns binary"
+COLUMN_BLOCK = 1 << 13
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,7 +119,7 @@ def need(size: np.ndarray, percent: int) -> np.ndarray:
 def bounded_sets(blocks: DataFrame, percent: int) -> DataFrame:
     """One row per document: size, digest of its set, and, if its shared columns reach its need, prefix and columns.
 
-    `prefix` lists the rarest shared columns, enough that two documents that link have one in common; `columns` lists
+    `center` tells how common its shingles are; the original of a group of near copies has the most common ones. `prefix` lists the rarest shared columns, enough that two documents that link have one in common; `columns` lists
     all shared ones in order.
     """
 
@@ -133,6 +134,7 @@ def bounded_sets(blocks: DataFrame, percent: int) -> DataFrame:
         number = np.concatenate([unpack_numbers(n, 2) for _, n, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         rare = np.concatenate([unpack_numbers(r, 1) for _, _, r in parts]) if parts else np.zeros(0, np.uint8)
         shared = np.bincount(number, minlength=len(sizes))
+        center = np.bincount(number, weights=rare, minlength=len(sizes)) / np.maximum(1, sizes)
         least = need(sizes, percent)
         on = (sizes > 0) & (shared >= least)
         take = on[number]
@@ -146,8 +148,8 @@ def bounded_sets(blocks: DataFrame, percent: int) -> DataFrame:
             a, b = end[k] - shared[k], end[k]
             whole[k] = sorted_columns[a:b].tobytes()
             prefix[k] = by_rarity[a : a + max(0, shared[k] - least[k] + 1)].tobytes()
-        out = {"doc_id": rows["doc_ids"][top].as_py(), "n": sizes, "node": rows["nodes"][top].as_py(), "prefix": prefix, "columns": whole}
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        out = {"doc_id": rows["doc_ids"][top].as_py(), "n": sizes, "node": rows["nodes"][top].as_py(), "center": center, "prefix": prefix, "columns": whole}
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
         made = pa.table([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], names=list(out))
         return pa.concat_tables([made] * copies)
 
@@ -155,50 +157,76 @@ def bounded_sets(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """Columns of each class's prefix, with its size and how many of its shingles come before."""
+    """Columns of each class's prefix, with its size and how many of its shingles are left from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = [np.frombuffer(p, "<i8") for p in batch.column(2).to_pylist()]
+            prefix = [np.frombuffer(p, "<i8") for p in batch.column(3).to_pylist()]
             length = np.fromiter(map(len, prefix), np.int64, len(prefix))
             row = np.repeat(np.arange(len(prefix)), length)
             rank = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-            n = batch.column(1).to_numpy()
-            shared = np.fromiter((len(c) // 8 for c in batch.column(3).to_pylist()), np.int64, len(prefix))
+            shared = np.fromiter((len(c) // 8 for c in batch.column(4).to_pylist()), np.int64, len(prefix))
             g = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array((n - shared)[row] + rank)], ["g", "node", "n", "before"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(g), *(batch.column(c).take(at) for c in (0, 1, 2)), pa.array(shared[row] - rank)], ["g", "node", "n", "rank", "rest"])
 
-    return classes.select("node", "n", "prefix", "columns").mapInArrow(run, "g long, node binary, n long, before long")
+    found = classes.select("node", "n", "center", "prefix", "columns").mapInArrow(run, "g long, node binary, n long, rank double, rest long")
+    # documents that link differ by less than one band and the next in size
+    return found.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(float(np.log(4 / 3)))).cast("int"))
 
 
-def _fits(percent: int):
-    """Whether two documents that meet in a column can link: by their sizes, and by what follows it in both."""
+def _may(percent: int):
+    """Whether a link is possible between documents that meet in a column: by their sizes, and by what is left in both."""
 
     def test(x: str, y: str) -> Column:
-        nx, ny = F.col(f"{x}_n"), F.col(f"{y}_n")
-        most = F.least(nx - F.col(f"{x}_before"), ny - F.col(f"{y}_before"))
-        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
+        left = F.least(f"{x}_rest", f"{y}_rest")
+        alike = 100 * F.least(f"{x}_most", f"{y}_most") >= percent * F.greatest(f"{x}_least", f"{y}_least")
+        return alike & ((100 + percent) * left >= percent * (F.col(f"{x}_least") + F.col(f"{y}_least")))
 
     return test
 
 
-def _verify(classes: DataFrame, percent: int):
-    """Pairs whose overlap, counted over all columns, reaches the similarity."""
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """Numbers of common columns of all pairs, summed over blocks of columns; 0 for pairs that were discarded.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for nx, x, ny, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "a_columns", "b_n", "b_columns")), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")]))
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * overlap >= percent * (nx + ny - overlap))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def test(pairs: DataFrame) -> DataFrame:
-        a, b = (classes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("columns").alias(f"{k}_columns")) for k in ("a", "b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "a_columns", "b_n", "b_columns").mapInArrow(run, "a binary, b binary")
-
-    return test
+    A block adds the product of both incidences. When no pair can reach its least overlap with the columns left, the
+    rest isn't multiplied.
+    """
+    size = [np.fromiter(map(len, s), np.int64, len(s)) for s in (x, y)]
+    flat = [np.concatenate(s) for s in (x, y)]
+    known = np.intersect1d(distinct(np.sort(flat[0])), distinct(np.sort(flat[1])), assume_unique=True)
+    place = [np.searchsorted(known, f) for f in flat]
+    both = [(p < len(known)) & (known[np.minimum(p, max(0, len(known) - 1))] == f) if len(known) else np.zeros(len(f), bool) for p, f in zip(place, flat, strict=True)]
+    row = [np.repeat(np.arange(len(s)), s)[b] for s, b in zip(size, both, strict=True)]
+    place = [p[b] for p, b in zip(place, both, strict=True)]
+    left = [np.bincount(r, minlength=len(s)) for r, s in zip(row, size, strict=True)]
+    total = np.zeros((len(x), len(y)))
+    for a in range(0, len(known), COLUMN_BLOCK):
+        if not (total + np.minimum(left[0][:, None], left[1][None, :]) >= least).any():
+            return np.zeros_like(total)
+        part = []
+        for k in (0, 1):
+            on = (place[k] >= a) & (place[k] < a + COLUMN_BLOCK)
+            m = np.zeros((len(size[k]), min(COLUMN_BLOCK, len(known) - a)), np.float32)
+            m[row[k][on], place[k][on] - a] = 1
+            left[k] = left[k] - np.bincount(row[k][on], minlength=len(size[k]))
+            part.append(m)
+        total += part[0] @ part[1].T
+    return np.where(total >= least, total, 0)
+
+
+def _tile(percent: int):
+    """Links between the documents of two blocks."""
+
+    def links(a: pa.Table, b: pa.Table, forest: Forest) -> Iterator[tuple]:
+        sides = [(t["node"].to_pylist(), t["n"].to_numpy(), [np.frombuffer(c, "<u8") for c in t["columns"].to_pylist()]) for t in (a, b)]
+        (xs, nx, cx), (ys, ny, cy) = sides
+        least = -(-percent * (nx[:, None] + ny[None, :]) // (100 + percent))
+        for i, j in zip(*(k.tolist() for k in np.nonzero(overlaps(cx, cy, least))), strict=True):
+            if forest.add(xs[i], ys[j]):
+                yield xs[i], ys[j]
+
+    return links
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -208,14 +236,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     with fewer than `shingle` words has all of them as its one shingle. Null and empty texts have none, link with
     nothing and are their own component. Repeated rows give repeated rows; a null doc_id stays null, is linked like
     others, and names no component unless it is alone. An empty table gives no rows. Shingles are compared by 48 bits
-    of their hashes within a pair and 64 bits within a document. Groups of copies are one class; a group of near
-    copies is linked through one of them at first, so no step emits all pairs of a group that is connected.
+    of their hashes within a pair and 64 bits within a document. Groups of copies are one class; large groups of near
+    copies are compared block by block and yield a forest of links, so no step emits all pairs of a group.
     """
     buckets = groups_for(rows_of(docs), BUCKET_ROWS, LEAST_BUCKETS)
     sets = materialise(bounded_sets(shared_columns(incidence(docs, shingle, buckets)), percent))
     near = sets.where(F.col("columns").isNotNull())
-    classes = materialise(near.select("node", "n", "prefix", "columns").dropDuplicates(["node"]))
-    labels = link_groups(_entries(classes), _fits(percent), _verify(classes, percent))
+    classes = materialise(near.select("node", "n", "center", "prefix", "columns").dropDuplicates(["node"]))
+    bounds = {"rest": F.max("rest"), "least": F.min("n"), "most": F.max("n")}
+    labels = link_groups(_entries(classes), classes.select("node", "n", "columns"), bounds, _may(percent), _tile(percent))
     member = near.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     member = materialise(member)
     least = materialise(member.groupBy("label").agg(F.min("doc_id").alias("component_id")))

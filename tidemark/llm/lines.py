@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linking import link_groups
+from tidemark.llm.linking import Forest, link_groups
 from tidemark.llm.packed import bucket_of, pack_numbers, pack_parts, unpack_numbers, unpack_parts
 from tidemark.llm.tables import arrow_rows, groups_for
 from tidemark.llm.wordhash import MIX_1, MIX_2, blocks, hash_ranges, hash_runs, mix, word_ranges
@@ -276,7 +276,8 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     `docs` has doc_id and text and is a table, as its texts are read twice; other columns are ignored. Lines of fewer
     than MIN_WORDS words or MIN_BYTES normalised bytes take no part, so null and empty texts have none. Rows with equal
     doc_id are the same document, whose lines are one occurrence; a null doc_id comes last. An empty table gives no
-    rows. Equal lines are one node before anything is compared; a group of near lines is linked through one of them.
+    rows. Equal lines are one node before anything is compared; a group of near lines
+    is compared block by block and yields a forest of links.
     """
     lines = materialise(lines_of(docs).distinct())
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
@@ -284,19 +285,18 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     entries = materialise(near_nodes(nodes, nodes.count()))
     texts = materialise(texts_of(docs, materialise(entries.select("node").distinct())).select("node", normal_text(F.col("text")).alias("text")))
 
-    def fits(x: str, y: str) -> Column:
-        return F.bit_count(F.col(f"{x}_sig").bitwiseXOR(F.col(f"{y}_sig"))) <= DISTANCE
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"{k}_text")) for k in ("a", "b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
-
-    labels = link_groups(entries, fits, verify)
+    def links(a: pa.Table, b: pa.Table, forest: Forest) -> Iterator[tuple]:
+        (xs, sx, tx), (ys, sy, ty) = ((t["node"].to_pylist(), t["sig"].to_numpy(), t["text"].to_pylist()) for t in (a, b))
+        near = np.bitwise_count(sx[:, None].view(np.uint64) ^ sy[None, :].view(np.uint64)) <= DISTANCE
+        for i, j in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+            if forest.root(xs[i]) != forest.root(ys[j]) and similar(tx[i], ty[j], similarity):
+                forest.add(xs[i], ys[j])
+                yield xs[i], ys[j]
+
+    contents = materialise(texts.join(nodes.select("node", "sig"), "node").select("node", "sig", "text"))
+    # no block of nodes is shut out beforehand
+    everywhere = entries.select("g", "node", F.lit(0.0).alias("rank"), F.lit(0).alias("band"))
+    labels = link_groups(everywhere, contents, {}, lambda x, y: F.lit(True), links)
     joined = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
     joined = materialise(joined)
     groups = joined.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("occurrences")).where("occurrences > 1")

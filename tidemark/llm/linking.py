@@ -2,92 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
+TILE = 128
+
 
 def _follow(parents: DataFrame) -> DataFrame:
     """Each node's last ancestor, by doubling; `parents` has x and a smaller p."""
     while True:
         up = parents.select(F.col("x").alias("p"), F.col("p").alias("up"))
         parents = materialise(parents.join(up, "p", "left").select("x", F.coalesce("up", "p").alias("p"), F.col("up").isNotNull().alias("moved")))
-        if parents.where("moved").isEmpty():
-            return parents.select("x", "p")
+        moved = not parents.where("moved").isEmpty()
+        parents = parents.select("x", "p")
+        if not moved:
+            return parents
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Smallest node of the component of each linked node: columns node, label. `links` has a and b.
+    """Smallest node of the component of each linked node but that node itself: columns node, label. `links` has a and b.
 
-    Each label hooks on to its smallest smaller neighbour, chains are followed to their end, and links are
-    redrawn between what is left; at least half of the labels that have links vanish each time.
+    Each node hooks on to its smallest smaller neighbour, chains are followed to their end, and links are redrawn
+    between what is left, until none are; at least half of the nodes that have links vanish each time.
     """
+    labels = None
     edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    labels = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")))
-    while not edges.isEmpty():
-        parents = _follow(materialise(edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("p"))))
-        labels = materialise(
-            labels.join(parents.select(F.col("x").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-        )
+    while labels is None or not edges.isEmpty():
+        parents = _follow(edges.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("p")))
         a, b = (parents.select(F.col("x").alias(k), F.col("p").alias(f"{k}_p")) for k in ("a", "b"))
-        moved = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_p", "a").alias("a"), F.coalesce("b_p", "b").alias("b"))
+        moved = edges.join(b, "b").join(a, "a", "left").select(F.coalesce("a_p", "a").alias("a"), F.col("b_p").alias("b"))
         edges = materialise(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        if labels is None:
+            labels = parents.select(F.col("x").alias("node"), F.col("p").alias("label"))
+        else:
+            # what hooked on before follows; what was a root until now is added
+            up = parents.select(F.col("x").alias("label"), "p")
+            labels = labels.join(up, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+            labels = materialise(labels.unionByName(parents.select(F.col("x").alias("node"), F.col("p").alias("label"))))
     return labels
 
 
-def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return entries.withColumn("label", F.col("node"))
-    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+class Forest:
+    """Links that connect what no earlier link did."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def add(self, a, b) -> bool:
+        """Whether the link was needed."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[a] = b
+        return a != b
 
 
 def link_groups(
-    entries: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 2
+    entries: DataFrame,
+    contents: DataFrame,
+    bounds: dict[str, Column],
+    may: Callable[[str, str], Column],
+    tile: Callable[[pa.Table, pa.Table, Forest], Iterator[tuple]],
 ) -> DataFrame:
-    """Labels of nodes, equal for nodes that verified pairs connect: columns node, label; unlinked nodes may lack.
-
-    `entries` has g (group), node and columns that `fits(prefix, prefix)` compares for a pair that shares a group:
-    False says that the pair can't be a link, on the strength of this group or any other. `verify` takes pairs a < b
-    and returns those that are links. Every pair that shares a group, fits, and isn't connected by others is verified,
-    so components are exact. First each group's members meet one member, the same for as many groups as can be;
-    what that connects needs no further pairs. Then members that stayed apart from the largest part of their group
-    meet the group's others.
+    """Labels of nodes, equal for nodes that links connect: columns node, label; a node that lacks is its own.
+
+    `entries` has g (group), node, rank, band and columns for `bounds`; nodes that link share a group. `contents` has
+    node and what a link needs to be verified. Nodes gather round the highest ranked member of their groups, and those
+    of one band there make blocks of about TILE nodes. `bounds` are sums over a block's entries of one group, and
+    `may(prefix, prefix)` tells from those of two blocks whether a link between them is possible. Pairs of blocks
+    that share such a group are compared in whole: `tile` gets both contents and yields the links that connect
+    something new. So a large group of near copies costs blocks squared, never rows for its pairs, and yields
+    a forest; every pair that shares a group and may link is looked at.
     """
-    extra = [c for c in entries.columns if c not in ("g", "node")]
-    # a group of one has no pairs
-    many = materialise(entries.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
-    entries = materialise(entries.join(many, "g"))
-    links = tested = labels = None
-
-    def check(pairs: DataFrame) -> None:
-        nonlocal links, tested
-        pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        found = materialise(verify(pairs).select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    kind = entries.schema["node"].dataType.simpleString()
+    best = F.max(F.struct("rank", "node")).alias("lead")
+    leads = entries.groupBy("g").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(entries.join(materialise(leads.select("g", "lead")), "g"))
+    homes = materialise(met.groupBy("node").agg(F.max("lead").alias("lead"), F.min("band").alias("band")).select("node", "band", F.col("lead.node").alias("home")))
+    sizes = materialise(homes.groupBy("home", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = materialise(homes.join(sizes, ["home", "band"]).select("node", F.xxhash64("home", "band", part).alias("block")))
+
+    seen = met.drop("lead").join(placed, "node").groupBy("g", "block")
+    seen = materialise(seen.agg(F.count(F.lit(1)).alias("members"), *(c.alias(k) for k, c in bounds.items())))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("g", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "label", *extra)))
-
-    apart = (F.col("x_label") != F.col("y_label")) & fits("x", "y")
-    for r in range(rounds):
-        now = _labelled(entries, labels)
-        first = F.min(F.struct(F.xxhash64("label", F.lit(r)).alias("turn"), "node", "label", *extra)).alias("one")
-        leads = now.groupBy("g").agg(first, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        leads = materialise(leads.select("g", *(F.col(f"one.{c}").alias(f"y_{c}") for c in ("node", "label", *extra))))
-        check(side(now, "x").join(leads, "g").where(apart))
-        labels = components(links)
-    now = materialise(_labelled(entries, labels))
-    parts = now.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    largest = materialise(largest.select("g", F.col("top.label").alias("top")))
-    left = materialise(now.join(largest, "g").where("label <> top").drop("top"))
-    mixed = materialise(now.join(largest.select("g"), "g"))
-    check(side(left, "x").join(side(mixed, "y"), "g").where(apart))
+        return df.select("g", *(F.col(c).alias(f"{name}_{c}") for c in ("block", *bounds)))
+
+    across = side(seen, "a").join(side(seen, "b"), "g").where((F.col("a_block") < F.col("b_block")) & may("a", "b"))
+    within = side(seen.where("members > 1"), "a").join(side(seen.where("members > 1"), "b"), "g").where((F.col("a_block") == F.col("b_block")) & may("a", "b"))
+    tiles = materialise(across.unionByName(within).select(F.col("a_block").alias("a"), F.col("b_block").alias("b")).distinct())
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        rows = rows.drop_columns(["block"])
+        with pa.ipc.new_stream(sink, rows.schema) as w:
+            w.write_table(rows)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    used = tiles.select(F.explode(F.array("a", "b")).alias("block")).distinct()
+    wanted = materialise(placed.join(used, "block", "left_semi"))
+    packs = materialise(contents.join(wanted, "node").groupBy("block").applyInArrow(pack, "block long, data binary"))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        data = dict(zip(rows["side"].to_pylist(), rows["data"], strict=True))
+        a, b = (pa.ipc.open_stream(data[k if k in data else 0].as_py()).read_all() for k in (0, 1))
+        found = list(tile(a, b, Forest()))
+        return pa.table([pa.array([x[k] for x in found], a.schema.field("node").type) for k in (0, 1)], names=["a", "b"])
+
+    # one pair of blocks at a time is in a task's memory
+    sides = [tiles.where(f"a <> b or {k} = 0").join(packs.withColumnRenamed("block", c), c).select("a", "b", F.lit(k).alias("side"), "data") for k, c in enumerate("ab")]
+    links = sides[0].unionByName(sides[1]).groupBy("a", "b").applyInArrow(compare, f"a {kind}, b {kind}")
     return components(links)
