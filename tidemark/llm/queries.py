@@ -22,7 +22,54 @@ def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(table(spark, sf_dir, "documents"), keep=False).drop("media", "tensors")
 
 
-@query("op10_url_markov")
+def _level_sql(order: int) -> str:
+    """Smoothed probabilities of one order over all grams, as a DuckDB table p{order}."""
+    size, below = urls.SYMBOLS, f"b.{{k}}" if order else f"1.0 / {urls.SYMBOLS}"
+    p = ", ".join(
+        f"CASE WHEN coalesce(c.n_{k}, 0) < {urls.LEAST_CONTEXT} THEN {below.format(k=k)} "
+        f"ELSE (coalesce(n.{k}, 0) + c.kinds_{k} * {below.format(k=k)}) / (c.n_{k} + c.kinds_{k}) END AS {k}"
+        for k in ("yes", "no")
+    )
+    return f"""n{order} AS (SELECT gram % {size ** (order + 1)} AS gram, sum(yes) AS yes, sum(no) AS no FROM seen GROUP BY 1),
+c{order} AS (SELECT gram // {size} AS ctx, sum(yes) AS n_yes, sum(no) AS n_no, count(*) FILTER (yes > 0) AS kinds_yes,
+  count(*) FILTER (no > 0) AS kinds_no FROM n{order} GROUP BY 1),
+p{order} AS MATERIALIZED (SELECT g.gram, {p} FROM range({size ** (order + 1)}) AS g(gram) LEFT JOIN n{order} AS n ON n.gram = g.gram
+  LEFT JOIN c{order} AS c ON c.ctx = g.gram // {size}{f" JOIN p{order - 1} AS b ON b.gram = g.gram % {size**order}" if order else ""})"""
+
+
+def _rule_sql(value: str) -> str:
+    """CASE over the rules, longest first."""
+    rules = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v if value == 'verdict' else h + p}'" for h, p, v in rules) + " END"
+
+
+OP10_SQL = f"""
+WITH r AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), '{urls.UPPER}', '{urls.LOWER}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+j AS (SELECT *, {_rule_sql("rule")} AS rule, {_rule_sql("verdict")} AS decided,
+  chr(2) || chr(2) || translate(lower(coalesce(url, '')), '0123456789' || chr(2) || chr(3), '0000000000' || chr(1) || chr(1)) || chr(3) AS s,
+  row_number() OVER () AS row FROM h),
+k AS (SELECT *, list_transform(generate_series(1, length(s)), lambda i: strpos(chr(2) || chr(3) || '{urls.ALPHABET[2:]}', s[i])) AS c FROM j),
+g AS MATERIALIZED (
+  SELECT row, decided, unnest(list_transform(generate_series(3, len(c)), lambda i: c[i] + {urls.SYMBOLS} * c[i - 1] + {urls.SYMBOLS**2} * c[i - 2])) AS gram FROM k),
+seen AS MATERIALIZED (SELECT gram, count(*) FILTER (decided = 'allow') AS yes, count(*) FILTER (decided = 'block') AS no FROM g WHERE decided IS NOT NULL GROUP BY 1),
+{", ".join(_level_sql(k) for k in range(urls.ORDER + 1))},
+m AS (SELECT gram, round(ln(yes) - ln(no), 6) AS ratio FROM p{urls.ORDER}),
+s AS MATERIALIZED (SELECT row, floor(sum(CAST(round(ratio * 1000000) AS BIGINT)) / count(*)) / 1e6 AS score FROM g JOIN m USING (gram) GROUP BY 1),
+b AS (SELECT CAST(floor(score / {urls.BIN}) AS BIGINT) AS bin, count(*) FILTER (decided = 'allow') AS yes, count(*) FILTER (decided = 'block') AS no
+  FROM s JOIN j USING (row) WHERE decided IS NOT NULL GROUP BY 1),
+t AS (SELECT bin, sum(yes) OVER (ORDER BY bin) AS below_yes, sum(no) OVER (ORDER BY bin) AS below_no, sum(yes) OVER () AS yes, sum(no) OVER () AS no,
+  lead(bin) OVER (ORDER BY bin) AS nxt FROM b),
+u AS (SELECT bin, round((yes - below_yes) / yes + below_no / no, 12) AS gain, (bin + 1 + nxt) / 2 * {urls.BIN} AS threshold FROM t WHERE nxt IS NOT NULL AND yes > 0 AND no > 0),
+v AS (SELECT threshold, row_number() OVER (ORDER BY bin) - 1 AS i, count(*) OVER () AS n FROM u WHERE gain = (SELECT max(gain) FROM u)),
+w AS (SELECT coalesce(max(threshold) FILTER (i = n // 2), 0.0) AS threshold FROM v)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.decided, CASE WHEN s.score >= w.threshold THEN 'allow' ELSE 'block' END) AS verdict, s.score, w.threshold
+FROM j JOIN s USING (row) CROSS JOIN w
+"""
+
+
+@query("op10_url_markov", OP10_SQL)
 def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"))
 

@@ -103,9 +103,16 @@ def train(labelled: DataFrame) -> DataFrame:
 
 
 def ratio_score(url: Column, ratios: str) -> Column:
-    """Mean ratio over a URL's characters; `ratios` lists one value for each gram in order."""
-    values = F.split(F.lit(ratios), ",").cast("array<double>")
-    return _let(grams(url), lambda codes: F.round(F.aggregate(codes, F.lit(0.0), lambda a, g: a + F.get(values, g)) / F.size(codes), 6))
+    """Mean ratio over a URL's characters, to six digits below; `ratios` lists millionths for each gram in order.
+
+    Whole numbers add up to the same sum in any order.
+    """
+    values = F.split(F.lit(ratios), ",").cast("array<bigint>")
+
+    def mean(codes: Column) -> Column:
+        return F.floor(F.aggregate(codes, F.lit(0).cast("long"), lambda a, g: a + F.get(values, g)) / F.size(codes)) / F.lit(1e6)
+
+    return _let(grams(url), mean)
 
 
 def threshold(scored: DataFrame) -> float:
@@ -141,7 +148,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     judged = parts.select("*", rule.alias("rule"), decided.alias("decided"))
     labelled = judged.where(F.col("decided").isNotNull()).select("url", (F.col("decided") == "allow").alias("accepted"))
     model = train(labelled).collect()  # SYMBOLS ** (ORDER + 1) rows whatever the input
-    ratios = ",".join(str(r.ratio) for r in sorted(model, key=lambda r: r.gram))
+    ratios = ",".join(str(round(r.ratio * 1e6)) for r in sorted(model, key=lambda r: r.gram))
     score = ratio_score(F.col("url"), ratios)
     least = threshold(labelled.select(score.alias("score"), "accepted"))
     verdict = F.coalesce("decided", F.when(F.col("score") >= least, "allow").otherwise("block"))
