@@ -127,7 +127,8 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 )
 
     lines = _text(docs).mapInArrow(run, "node long, text string")
-    return lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    # the same plan whether the nodes are few or many
+    return lines.join(nodes.hint("shuffle_merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def block_masks(nodes: int) -> list[int]:
