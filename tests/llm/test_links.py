@@ -175,6 +175,28 @@ def test_without_repeats(spark):
     assert lines.without_repeats(empty(spark)).count() == 0
 
 
+def test_without_repeats_tells_rows_of_one_id_apart(spark):
+    """Rows without an id, and rows that repeat one with another text, lose their own repeats alone."""
+    shared = "a line that several rows hold"
+    texts = [f"{shared}\nthe first document ends with this", *(f"{shared}\n{w}" for w in ("red apples grow on old trees", "seven ships sail without a captain"))]
+    texts += ["winter nights are long and very cold", "our bakery opens early every morning", f"music fills the empty concert hall\n{shared}"]
+    docs = documents(spark, texts, [1, None, None, None, 2, 2])
+    got = sorted((r.doc_id or 0, r.text) for r in lines.without_repeats(docs).collect())
+    want = [(1, texts[0]), (2, texts[4]), (2, "music fills the empty concert hall"), *((None, t.removeprefix(f"{shared}\n")) for t in texts[1:4])]
+    assert got == sorted((d or 0, t) for d, t in want)
+    rows = lines.line_groups(docs).collect()
+    assert sorted((r.doc_id is None, r.line_no, r.kept) for r in rows) == [(False, 0, True), (False, 1, False), (True, 0, False), (True, 0, False)]
+    assert {r.occurrences for r in rows} == {4}
+
+
+def test_representatives_of_one_id_with_other_texts(spark):
+    a, b = sentence(random.Random(4), 40), sentence(random.Random(5), 40)
+    docs = documents(spark, [a, a, b, b, f"{b} more", "one of its own"], [3, 5, 5, 5, 5, 9])
+    kept = Counter((r.doc_id, r.text) for r in jaccard.representatives(docs).collect())
+    near = [t for t in (b, f"{b} more") if (5, t) in kept]
+    assert len(near) == 1 and kept == Counter([(3, a), (5, near[0]), (9, "one of its own")])
+
+
 def test_normal_text_agrees(spark):
     texts = ["  A,b 12!", "É x_y", "", "tab\tand\x00nul", "株 Ab9"]
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "s string").select(lines.normal_text(F.col("s")).alias("t")).collect()]

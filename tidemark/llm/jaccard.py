@@ -256,16 +256,22 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, that stand for their component: those of the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays, whichever its columns; rows without a doc_id can't be told apart and stay.
+    Rows that repeat a doc_id with another text are documents of their own, each in its text's component. Of rows
+    that repeat both one stays, whichever its other columns; rows without a doc_id can't be told apart and stay.
     """
-    found = materialise(jaccard_components(docs, shingle, percent))
-    named = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc_id"))
-    named = named.agg(F.min("component_id").alias("__component"), F.count(F.lit(1)).alias("__rows"))
-    keep = materialise(named.where("__doc_id = __component").select("__doc_id", "__rows"))
-    by_id = docs["doc_id"] == F.col("__doc_id")
-    out = docs.join(keep.where("__rows = 1").select("__doc_id"), by_id, "left_semi")
+    doc_id, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = materialise(jaccard_components(docs.select(key.alias("doc_id"), "text"), shingle, percent))
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("__component"), F.count(F.lit(1)).alias("__rows"))
+    ids = docs.where(doc_id.isNotNull()).select(doc_id.alias("__doc_id"), key.alias("__key")).distinct()
+    named = materialise(found.join(ids, "__key"))
+    first = named.groupBy("__component").agg(F.min_by(F.struct("__key", "__rows"), F.struct("__doc_id", "__key")).alias("__first"))
+    keep = materialise(first.select("__first.*"))
+    by_key = key == F.col("__key")
+    some = docs.where(doc_id.isNotNull())
+    out = some.join(keep.where("__rows = 1").select("__key"), by_key, "left_semi")
     if not keep.where("__rows > 1").isEmpty():
-        out = out.unionByName(docs.join(keep.where("__rows > 1").select("__doc_id"), by_id, "left_semi").dropDuplicates(["doc_id"]))
-    if not found.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where(F.col("doc_id").isNull()))
+        again = some.join(keep.where("__rows > 1").select("__key"), by_key, "left_semi")
+        out = out.unionByName(again.withColumn("__key", key).dropDuplicates(["__key"]).drop("__key"))
+    if not docs.where(doc_id.isNull()).isEmpty():
+        out = out.unionByName(docs.where(doc_id.isNull()))
     return out

@@ -45,7 +45,7 @@ _FOLDED[65:91] += 32
 _FOLDED[48:58] = 48
 _TABLE = mix(_FOLDED.astype(np.uint64) + np.uint64(0x1F123BB5))
 
-LINES = "doc_id long, line_no long, node long, sig long"
+LINES = "doc_id long, key long, line_no long, node long, sig long"
 PARTS = "slot long, bucket int, data binary"
 
 
@@ -99,6 +99,11 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _key() -> Column:
+    """With doc_id, what tells documents apart: ids may be missing, or repeat with another text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line that takes part."""
 
@@ -106,11 +111,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
         for batch in arrow_rows(batches):
             for row, at, raw in blocks(batch.column(1)):
                 text, number, node, sig, _, _ = line_hashes(at, raw)
+                of = pa.array(text + row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(text + row)), pa.array(number), pa.array(node.view(np.int64)), pa.array(sig.view(np.int64))], ["doc_id", "line_no", "node", "sig"]
+                    [batch.column(0).take(of), batch.column(2).take(of), pa.array(number), pa.array(node.view(np.int64)), pa.array(sig.view(np.int64))], ["doc_id", "key", "line_no", "node", "sig"]
                 )
 
-    return _text(docs).mapInArrow(run, LINES)
+    return _text(docs).withColumn("key", _key()).mapInArrow(run, LINES)
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,12 +282,18 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     `docs` has doc_id and text and is a table, as its texts are read twice; other columns are ignored. Lines of fewer
     than MIN_WORDS words or MIN_BYTES normalised bytes take no part, so null and empty texts have none. Rows with equal
-    doc_id are the same document, whose lines are one occurrence; a null doc_id comes last. An empty table gives no
+    doc_id and text are the same document, whose lines are one occurrence; rows that share an id, or have none, and
+    differ in text are documents of their own. A null doc_id comes last. An empty table gives no
     rows. Equal lines are one node before anything is compared; a group of near lines
     is compared block by block and yields a forest of links.
     """
+    return _grouped(docs, similarity).drop("key")
+
+
+def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
+    """`line_groups` with the key of each occurrence's document."""
     lines = materialise(lines_of(docs).distinct())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line_no")
     nodes = materialise(lines.groupBy("node").agg(F.min("sig").alias("sig"), F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
     entries = materialise(near_nodes(nodes, nodes.count()))
     texts = materialise(texts_of(docs, materialise(entries.select("node").distinct())).select("node", normal_text(F.col("text")).alias("text")))
@@ -301,10 +313,10 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     joined = nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
     joined = materialise(joined)
     groups = joined.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("occurrences")).where("occurrences > 1")
-    groups = materialise(groups.select("label", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "occurrences"))
+    groups = materialise(groups.select("label", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.line_no").alias("first_line_no"), "occurrences"))
     of_node = materialise(joined.select("node", "label").join(groups, "label").drop("label"))
-    kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
-    return lines.join(of_node, "node").select("doc_id", "line_no", "first_doc_id", "first_line_no", "occurrences", kept.alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("key") == F.col("first_key")) & (F.col("line_no") == F.col("first_line_no"))
+    return lines.join(of_node, "node").select("doc_id", "key", "line_no", "first_doc_id", "first_line_no", "occurrences", kept.alias("kept"))
 
 
 def normal_text(text: Column) -> Column:
@@ -319,9 +331,11 @@ def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     All columns stay; n_chars, where there is one, is counted anew for texts that change. See `line_groups` for what
     repeats. Documents that had no text stay as they are.
     """
-    gone = line_groups(docs, similarity).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    gone = materialise(gone.withColumnRenamed("doc_id", "__doc_id"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left").drop("__doc_id")
+    gone = _grouped(docs, similarity).where(~F.col("kept"))
+    gone = gone.groupBy(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = materialise(gone)
+    same = (_key() == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
+    joined = docs.join(gone, same, "left").drop("__doc_id", "__key")
 
     @F.pandas_udf("string")
     def cut(text, drop):
