@@ -122,6 +122,26 @@ def test_isotonic_steps_are_bounded(spark):
     assert np.abs(a - b).mean() < 0.02
 
 
+def test_isotonic_is_exact_for_many_skewed_scores(spark):
+    """More than 10,000 distinct scores, one of them far away, against pooling on one array."""
+    rng = np.random.default_rng(6)
+    x = np.append(np.sort(rng.permutation(200_000)[:12_000]).astype(float), 1e9)
+    y = (rng.random(len(x)) < 0.2 + 0.6 * np.arange(len(x)) / len(x)).astype(int)
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(float(x[i]), int(y[i])) for i in order], "s double, y int").repartition(7)
+    blocks = []
+    for v in y:
+        blocks.append([float(v), 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (a, m), (b, n) = blocks[-2:]
+            blocks[-2:] = [[(a * m + b * n) / (m + n), m + n]]
+    want = np.repeat([b[0] for b in blocks], [b[1] for b in blocks])
+    got = M.apply_isotonic(df, M.fit_isotonic(df, "s", "y"), "s").toPandas().sort_values("s")["calibrated"].to_numpy()
+    assert np.abs(got - want).max() < 1e-9
+    with pytest.raises(ValueError, match="max_steps"):
+        M.fit_isotonic(df, "s", "y", max_steps=5)
+
+
 def test_late_bars_are_left_out(spark, tmp_path):
     from tidemark.streaming import stream as T
 

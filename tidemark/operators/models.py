@@ -20,7 +20,6 @@ from tidemark.session import materialise
 NEG_PER_POS = 40
 BOOST_GRID = (5.0, 10.0, 20.0, 40.0)
 RECOVERY_FLOOR, DEPLOY_F1_FRAC, NEAR_TIE = 0.70, 0.50, 0.98
-ISOTONIC_STEPS = 10_000
 
 
 @dataclass(frozen=True)
@@ -185,27 +184,24 @@ def sequence_windows(df: DataFrame, cols: Sequence[str], window: int, allowed: C
 # --------------------------------------------------------------------------- calibration, students
 
 
-def fit_isotonic(df: DataFrame, score: str, y: str, weight: str | None = None, max_steps: int = ISOTONIC_STEPS):
+def fit_isotonic(df: DataFrame, score: str, y: str, weight: str | None = None, max_steps: int | None = None):
     """Monotone map from score to probability; None (identity) with fewer than two classes.
 
-    Rows with equal score are merged first, so a score shared by many rows costs one. The library pools the steps on
-    the driver; if there are more than `max_steps`, rows are merged in as many equal widths of the score, at their
-    mean score.
+    Rows with equal score are merged first, so a score shared by many rows costs one. The fit is exact at every size:
+    the library pools adjacent violators inside range partitions of the score, and on the driver only the blocks that
+    are left. A model of more than `max_steps` boundaries, where given, is an error.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
-    x = F.col(score).cast("double")
-    distinct = df.select(x.alias("_x")).distinct().limit(max_steps + 1).count()
-    key = x
-    if distinct > max_steps:
-        least, most = df.agg(F.min(x), F.max(x)).first()
-        key = F.floor((x - F.lit(least)) / F.lit((most - least) / max_steps))
-    steps = df.groupBy(key.alias("_k")).agg(
-        F.avg(x).alias("_x"), (F.sum(w * F.col(y)) / F.sum(w)).alias("_y"), F.sum(w).alias("_w")
+    steps = df.groupBy(F.col(score).cast("double").alias("_x")).agg(
+        (F.sum(w * F.col(y)) / F.sum(w)).alias("_y"), F.sum(w).alias("_w")
     )
     lo, hi = df.agg(F.min(y), F.max(y)).first()
     if lo == hi:
         return None
-    return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(steps)
+    model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(steps)
+    if max_steps is not None and len(model.boundaries) > max_steps:
+        raise ValueError(f"{len(model.boundaries)} boundaries are more than max_steps = {max_steps}")
+    return model
 
 
 def apply_isotonic(df: DataFrame, model, score: str) -> DataFrame:
