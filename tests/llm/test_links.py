@@ -197,6 +197,17 @@ def test_representatives_of_one_id_with_other_texts(spark):
     assert len(near) == 1 and kept == Counter([(3, a), (5, near[0]), (9, "one of its own")])
 
 
+def test_lines_of_scripts_without_blanks(spark):
+    """Exact and near repeats of lines that have no ASCII blank or punctuation."""
+    rng = random.Random(8)
+    long = "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(900))
+    near = long[:400] + "変" + long[401:]
+    japanese, thai = "これは何度も現れる長い段落です", "นี่คือย่อหน้ายาวที่ปรากฏหลายครั้ง"
+    docs = documents(spark, [f"{long}\n{japanese}", f"{near}\n{thai}", f"{japanese}\n{thai}", "短い\n短い", "─" * 20, "─" * 20])
+    got = {(r.doc_id, r.line_no, r.first_doc_id, r.first_line_no, r.occurrences) for r in lines.line_groups(docs).collect()}
+    assert got == {(0, 0, 0, 0, 2), (1, 0, 0, 0, 2), (0, 1, 0, 1, 2), (2, 0, 0, 1, 2), (1, 1, 1, 1, 2), (2, 1, 1, 1, 2)}
+
+
 def test_normal_text_agrees(spark):
     texts = ["  A,b 12!", "É x_y", "", "tab\tand\x00nul", "株 Ab9"]
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "s string").select(lines.normal_text(F.col("s")).alias("t")).collect()]

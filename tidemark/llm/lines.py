@@ -30,7 +30,8 @@ BITS, DISTANCE = 64, 3
 #: Blocks whose agreement is asked for have this many bits beyond those that tell all nodes apart.
 SPARE_BITS = 4
 SIMILARITY = 0.9
-#: Shorter lines are never duplicates: blank ones, rules, single words.
+#: Shorter lines are never duplicates: blank ones, rules, single words. Two characters of a script without blanks count
+#: as a word.
 MIN_WORDS, MIN_BYTES = 3, 12
 LONGEST_WEIGHT = 8
 GROUP_PAIRS = 64  # larger groups are not searched for partners before they are linked
@@ -40,6 +41,9 @@ BUCKET_NODES, LEAST_BUCKETS = 16_000, 64
 #: Bytes between words: ASCII but for letters and digits.
 _SPACE = np.ones(256, bool)
 _SPACE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: First bytes of characters of three bytes, but for general punctuation, symbols and box drawing.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xE0, 0xE1, *range(0xE3, 0xEE)]] = True
 _FOLDED = np.arange(256)
 _FOLDED[65:91] += 32
 _FOLDED[48:58] = 48
@@ -71,6 +75,27 @@ def simhash(words: np.ndarray, weights: np.ndarray, start: np.ndarray) -> np.nda
     return out
 
 
+def _wide_simhash(raw, wide, start, end, hashes, weight, lo, pick, size) -> np.ndarray:
+    """SimHash of lines with wide characters: neighbours among them take the place of the words that hold them."""
+    gram = wide[:-1][np.diff(wide) == 3]
+    word = np.searchsorted(start, gram, "right") - 1
+    line = np.full(len(start), -1)
+    line[pick] = np.repeat(np.arange(len(lo)), size)
+    on = (line[word] >= 0) & (gram + 6 <= end[word]) if len(gram) else np.zeros(0, bool)
+    gram, word = gram[on], word[on]
+    # neighbours overlap, so every other one is hashed at a time
+    found = np.empty(len(gram), np.uint64)
+    for k in (0, 1):
+        found[k::2] = hash_ranges(raw, gram[k::2], gram[k::2] + 6, table=_TABLE)
+    left = np.ones(len(start), bool)
+    left[word] = False
+    rest = pick[left[pick]]
+    of = np.concatenate([line[rest], line[word]])
+    order = np.argsort(of, kind="stable")
+    votes = np.concatenate([weight[rest], np.full(len(gram), 4, np.int16)])[order]
+    return simhash(np.concatenate([hashes[rest], found])[order], votes, np.searchsorted(of[order], np.arange(len(lo))))
+
+
 def line_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text, line number, node, SimHash, start and end byte of every line that takes part."""
     newline = np.flatnonzero(raw == 10)
@@ -81,7 +106,11 @@ def line_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
     hi = np.append(lo[1:], len(start))
     last = np.append(first[1:], len(raw))
     letters = np.concatenate([[0], np.cumsum(end - start)])
-    on = (hi - lo >= MIN_WORDS) & (letters[hi] - letters[lo] + hi - lo - 1 >= MIN_BYTES) if len(first) else np.zeros(0, bool)
+    wide = np.flatnonzero(_WIDE[raw])
+    many = hi - lo
+    if len(wide):
+        many = many + (np.searchsorted(wide, last) - np.searchsorted(wide, first)) // 2
+    on = (many >= MIN_WORDS) & (hi > lo) & (letters[hi] - letters[lo] + hi - lo - 1 >= MIN_BYTES) if len(first) else np.zeros(0, bool)
     text = np.searchsorted(at, first, "right") - 1
     number = np.searchsorted(newline, first) - np.searchsorted(newline, at[text])
     lo, hi = lo[on], hi[on]
@@ -91,7 +120,10 @@ def line_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
     size = hi - lo
     begin = np.cumsum(size) - size
     pick = np.repeat(lo - begin, size) + np.arange(size.sum())
-    sig = simhash(hashes[pick], weight[pick], begin) if len(lo) else np.zeros(0, np.uint64)
+    if len(wide) and len(lo):
+        sig = _wide_simhash(raw, wide, start, end, hashes, weight, lo, pick, size)
+    else:
+        sig = simhash(hashes[pick], weight[pick], begin) if len(lo) else np.zeros(0, np.uint64)
     return text[on], number[on], node, sig, first[on], last[on]
 
 
