@@ -33,6 +33,19 @@ def test_media(spark):
     assert audio.media_features(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [0, 576, 40_000, 200_000])
+def test_features_come_from_the_tensors(monkeypatch, size):
+    """Whether or not they are kept: what is written decides the digest."""
+    data = random.Random(size).randbytes(size)
+    kept, dropped = (audio.media_row(data, keep) for keep in (True, False))
+    assert kept[:-2] == dropped[:-2] and dropped[-2:] == (None, None)
+    found = audio.describe(audio.from_wav(kept[-2]))
+    assert kept[6] == audio.feature_text(found) and np.array_equal(audio.read_tensors(kept[-1]), found["mels"])
+    real = audio.tensor_table
+    monkeypatch.setattr(audio, "tensor_table", lambda mels: real(mels + np.float32(1)))
+    assert audio.media_row(data, False)[6] != kept[6]
+
+
 def test_tensors_have_one_shape_and_spans():
     payload = bytes(range(256)) * 200
     found = audio.describe(payload)

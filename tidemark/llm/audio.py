@@ -132,6 +132,13 @@ def tensor_table(mels: np.ndarray) -> pa.Table:
     return pa.table({"tensor": pa.ExtensionArray.from_storage(kind, values), "start_s": begin * HOP / RATE, "end_s": (last * HOP + FRAME) / RATE})
 
 
+def read_tensors(stream: bytes) -> np.ndarray:
+    """Frames of an Arrow stream of tensors; how many the last one holds follows from its time span."""
+    t = pa.ipc.open_stream(stream).read_all()
+    values = t["tensor"].combine_chunks().to_numpy_ndarray().reshape(-1, MELS)
+    return values[: round((t["end_s"][-1].as_py() * RATE - FRAME) / HOP) + 1]
+
+
 def describe(payload: bytes) -> dict:
     """Frames, segments and tensors of 8-bit samples."""
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
@@ -155,31 +162,35 @@ def write_ipc(t: pa.Table) -> bytes:
     return out.getvalue()
 
 
+def media_row(data: bytes, keep: bool) -> tuple:
+    """The columns of MEDIA after doc_id; media and tensors are made and read back whether or not they are kept."""
+    media = to_wav(data.ljust(max(1, -(-len(data) // UNIT)) * UNIT, b"\xff"))
+    back = from_wav(media)
+    found = describe(back)
+    tensors = write_ipc(tensor_table(found["mels"]))
+    found["mels"] = read_tensors(tensors)
+    return (
+        len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
+        hashlib.sha256(media).hexdigest(), feature_text(found), len(found["mels"]), len(found["spans"]),
+        media if keep else None, tensors if keep else None,
+    )
+
+
 def media_features(docs: DataFrame, keep: bool = True) -> DataFrame:
     """Stored media of each text's bytes, what reads back, and its features.
 
     `docs` has doc_id and text; other columns are ignored. The UTF-8 bytes, filled with bytes 255 to a positive
     multiple of UNIT, are the samples; a null text counts as empty. `media` is the WAV file, `tensors` an Arrow
-    stream of fixed-shape tensors with start and end seconds; without `keep` both are null. One row per input
+    stream of fixed-shape tensors with start and end seconds, from which the features are read; without `keep` both are
+    made, read and left null. One row per input
     row, repeated rows included; no row of the table meets another, so no key can be hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 256):
             at, raw = column_buffers(batch.column(1))
-            data, rows = raw[at[0] : at[-1]].tobytes(), []
-            for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True):
-                size = max(1, -(-(b - a) // UNIT)) * UNIT
-                media = to_wav(data[a:b].ljust(size, b"\xff"))
-                back = from_wav(media)
-                found = describe(back)
-                rows.append(
-                    (
-                        b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
-                        hashlib.sha256(media).hexdigest(), feature_text(found), len(found["mels"]), len(found["spans"]),
-                        media if keep else None, write_ipc(tensor_table(found["mels"])) if keep else None,
-                    )
-                )
+            data = raw[at[0] : at[-1]].tobytes()
+            rows = [media_row(data[a:b], keep) for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             names = [c.split()[0] for c in MEDIA.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
