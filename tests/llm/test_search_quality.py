@@ -58,6 +58,26 @@ def test_search_awkward(spark):
     assert len(search(spark, rows, 2)) == 8
 
 
+def test_search_keeps_large_components(spark, monkeypatch):
+    """Components of 2**20 and more, scores beyond 2**53 with ties, and a refusal beyond a long."""
+    monkeypatch.setattr(innerproduct, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(innerproduct, "RUN", 7)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(300, 6))
+    m[::3] *= 3e5
+    m[5:200:7] = rng.normal(size=m[5:200:7].shape) * 1e6
+    m[210:260] = m[0]
+    rows = [(i, v) for i, v in enumerate(m.tolist())]
+    assert max(abs(x) for _, v in rows for x in v) > 2**20
+    want = brute(rows)
+    assert max(s for *_, s in want) > 2**53
+    assert search(spark, rows) == want
+    with pytest.raises(ValueError, match="beyond a long"):
+        search(spark, [(0, [1e8]), (1, [1e8])])
+    with pytest.raises(ValueError, match="beyond a long"):
+        search(spark, [(0, [1.0]), (1, [1e300])])
+
+
 def test_far_vectors_prune():
     """The bounds leave most pairs unscored on vectors of very different lengths."""
     rng = np.random.default_rng(0)

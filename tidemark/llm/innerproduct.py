@@ -32,7 +32,7 @@ RESULT = "query_id long, row long, vec_id long, score long"
 def integer_vectors(table: DataFrame) -> DataFrame:
     """vec_id and floor(SCALE * x) of each component; unfit vectors left out."""
     x = F.col("embedding").cast("array<double>")
-    fit = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 20)))
+    fit = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     ints = F.transform(x, lambda v: F.floor(v * SCALE).cast("long"))
     return table.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long"), ints.alias("ints"))
 
@@ -144,7 +144,7 @@ def best_of(q: Side, v: Side, k: int, known: np.ndarray) -> tuple[np.ndarray, np
         if not len(i):
             continue
         score = np.concatenate([np.einsum("ij,ij->i", q.ints[i[x : x + 65536]], v.ints[j[x : x + 65536]]) for x in range(0, len(i), 65536)])
-        good = score >= least[i]
+        good = score >= least[i] - slack[i]  # `least` is rounded; order and ties are settled by whole scores
         i, j, score = i[good], j[good], score[good]
         which = np.unique(i)
         row = np.concatenate([i, np.repeat(which, k)])
@@ -179,14 +179,17 @@ def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 10) -> Dat
     """Each query's k vectors of the highest integer inner product, ties to the smaller vec_id.
 
     Both tables have vec_id and embedding; other columns are ignored. A query's own row, the rows of its vec_id, is no
-    candidate. Vectors that are null, hold a null or non-finite component or one of 2**20 or more, or have no vec_id
-    take no part; shorter ones count as filled with zeros; one without components scores 0. Repeated candidates count
+    candidate. Vectors that are null, hold a null or non-finite component, or have no vec_id take no part; tables whose
+    longest vectors could score beyond a long are an error; shorter ones count as filled with zeros; one without components scores 0. Repeated candidates count
     each, repeated queries are answered each. Empty tables give no rows. Blocks have a bounded size whatever the
     data: a vector that fills a third of the table is split over blocks by vec_id.
     """
     vectors, asked = integer_vectors(table), integer_vectors(queries)
-    seen = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ints")).alias("dims")).first()
-    dims = max(seen.dims or 0, asked.agg(F.max(F.size("ints"))).first()[0] or 0, 1)
+    length = F.sqrt(F.max(F.aggregate("ints", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))).alias("length")
+    seen, put = (t.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ints")).alias("dims"), length).first() for t in (vectors, asked))
+    dims = max(seen.dims or 0, put.dims or 0, 1)
+    if (seen.length or 0) * (put.length or 0) >= 2.0**63 * (1 - 1e-9):
+        raise ValueError(f"vectors of length {put.length:.3g} and {seen.length:.3g} (in 1/{SCALE}) can score beyond a long")
     turn = rotation(vectors, dims)
     stored = materialise(blocks_by_length(vectors, dims, turn, groups_for(seen.n, VECTOR_BLOCK)))
     query_blocks = materialise(blocks_of_queries(asked, dims, turn, groups_for(rows_of(asked), QUERY_BLOCK)))
