@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chunktable, innerproduct, jaccard, lines, packing, quality, transducer, urls, warc
+from tidemark.llm import audio, chunktable, innerproduct, jaccard, lines, middle, packing, pii, quality, runs, transducer, urls, warc
 from tidemark.llm.tables import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -163,3 +163,34 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the copy's index has the offsets of the files as they were written
     aged = warc.digests(kept, worn).select("page_id", "file", F.col("digest").alias("now"))
     return warc.audit(placed, placed.join(aged, ["file", "page_id"]).select("file", "offset", "length", F.col("now").alias("digest")))
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, {", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))} FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {middle.TRANSFORMED} THEN 'plain'
+    WHEN h4 % 100 < {middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=False).drop("output")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.periodic_runs(docs, change=runs.repeat_tail, keep=False).drop("runs", "collapsed")
