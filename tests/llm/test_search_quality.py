@@ -143,16 +143,115 @@ def test_quality_awkward(spark):
     assert quality.quality(bare, labels).count() == quality.accepted(bare, none).count() == docs.count()
 
 
-def test_co_training_uses_both_views():
-    """A view that knows nothing of some rows learns them from the other's sure ones."""
-    rng = np.random.default_rng(0)
-    n = 900
-    y = (rng.random(n) < 0.5).astype(float)
-    meta = quality.Sparse(np.arange(n), np.where(rng.random(n) < 0.97, y, 1 - y).astype(int) + 3 * (np.arange(n) % 20), np.ones(n), n)
-    text = quality.Sparse(np.arange(n), (y * 2 + 5).astype(int), np.ones(n), n)
-    known = np.where(np.arange(n) < 60, y, np.nan)
-    model = quality.co_train(text, meta, known)
-    assert sum(a + b for a, b in model.exchanged) > 300
+def pool_of(texts, sources, langs, chars):
+    """Sums over documents in memory."""
+
+    def sums(model, bars):
+        at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        return quality.pool_sums(quality.text_features(at, raw), quality.meta_features(sources, langs, chars), model, bars)
+
+    return sums
+
+
+def sparse_of(texts, sources, langs, chars):
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    shape, words, bound = quality.text_features(at, np.frombuffer("".join(texts).encode(), np.uint8))
+    row, index, value = [], [], []
+    for k in range(len(texts)):
+        row += [k] * (shape.shape[1] + bound[k + 1] - bound[k])
+        index += [*shape[k], *(quality.SHAPE_SIZE + words[bound[k] : bound[k + 1]])]
+        value += [1.0] * shape.shape[1] + [quality.WORD_SCALE / max(1, bound[k + 1] - bound[k])] * (bound[k + 1] - bound[k])
+    meta = quality.meta_features(sources, langs, chars)
+    n = meta.shape[1]
+    return quality.Sparse(np.array(row), np.array(index), np.array(value), len(texts)), quality.Sparse(np.repeat(np.arange(len(texts)), n), meta.ravel(), np.ones(meta.size), len(texts))
+
+
+def two_views(n=1200, seed=0):
+    """Good and bad documents with words of their own; the source tells them apart for nine in ten."""
+    rng = random.Random(seed)
+    y = [rng.random() < 0.6 for _ in range(n)]
+    texts = [" ".join(rng.choice(["good", "fine", "well"] if g else ["bad", "poor", "ill"]) + str(rng.randint(0, 9)) * (rng.random() < 0.2) for _ in range(rng.randint(5, 30))) for g in y]
+    sources = [("a" if g else "b") if rng.random() < 0.9 else "c" for g in y]
+    return texts, sources, [rng.choice(["en", None]) for _ in y], [len(t) for t in texts], np.array(y, float)
+
+
+def test_co_training_goes_both_ways():
+    texts, sources, langs, chars, y = two_views()
+    known = 120
+    text, meta = sparse_of(texts[:known], sources[:known], langs[:known], chars[:known])
+    pool = pool_of(texts[known:], sources[known:], langs[known:], chars[known:])
+    model = quality.co_train(text, meta, y[:known], pool)
+    assert len(model.exchanged) == quality.ROUNDS and all(a > 50 and b > 50 for a, b in model.exchanged)
+    rest = sparse_of(texts[known:], sources[known:], langs[known:], chars[known:])
+    z = [x.times(w[:-1]) + w[-1] for x, w in zip(rest, (model.text, model.meta), strict=True)]
+    assert np.mean((model.combine(*z)[2] > 0.5) == (y[known:] > 0.5)) > 0.97
+
+
+def test_pool_sums_are_plain_sums():
+    """Gradients and curvature bounds against loops over documents."""
+    texts, sources, langs, chars, y = two_views(80, 3)
+    model = quality.co_train(*sparse_of(texts[:40], sources[:40], langs[:40], chars[:40]), y[:40], None, rounds=0)
+    text, meta = sparse_of(texts[40:], sources[40:], langs[40:], chars[40:])
     zt, zm = text.times(model.text[:-1]) + model.text[-1], meta.times(model.meta[:-1]) + model.meta[-1]
-    p = model.combine(zt, zm)[2]
-    assert np.mean((p > 0.5) == (y > 0.5)) > 0.97
+    lt, lm = model.logits(zt, zm)
+    bars = ((float(np.quantile(lt, 0.3)), float(np.quantile(lt, 0.8))), (float(np.quantile(lm, 0.2)), float(np.quantile(lm, 0.9))))
+    got = pool_of(texts[40:], sources[40:], langs[40:], chars[40:])(model, bars)
+    for x, z, given, logit, (low, high), found, length in ((text, zt, lm, lm, bars[1], got.to_text, 12 + quality.WORD_SCALE), (meta, zm, lt, lt, bars[0], got.to_meta, 6)):
+        size = (len(found) - 3) // 2
+        gradient, curvature, rows = np.zeros(size + 1), np.zeros(size + 1), 0
+        for k in range(x.rows):
+            if low < logit[k] < high:
+                continue
+            rows += 1
+            error = 1 / (1 + np.exp(-z[k])) - 1 / (1 + np.exp(-given[k]))
+            for i, v in [*((i, v) for r, i, v in zip(x.row, x.index, x.value, strict=True) if r == k), (size, 1.0)]:
+                gradient[i] += error * v
+                curvature[i] += v * length / 4
+        assert found[-1] == rows > 5
+        assert np.allclose(found[: size + 1] / quality.EXACT, gradient, atol=1e-5) and np.allclose(found[size + 1 : -1] / quality.EXACT, curvature, atol=1e-4)
+
+
+def test_pool_on_spark_is_the_pool_in_memory(spark):
+    texts, sources, langs, chars, y = two_views(300, 5)
+    rows = list(zip(range(300), texts, sources, langs, chars, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(7)
+    docs = docs.unionByName(spark.createDataFrame([(None, texts[0], sources[0], langs[0], chars[0])], docs.schema))
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(80)], "doc_id long, quality int")
+    text, meta, target, ids = quality._examples(docs, labels, 1000)
+    assert ids.tolist() == list(range(80)) and target.sum() == y[:80].sum()
+    pool = pool_of([*texts[80:], texts[0]], [*sources[80:], sources[0]], [*langs[80:], langs[0]], [*chars[80:], chars[0]])
+    model = quality.co_train(text, meta, target, pool)
+    again = quality.train(docs, labels)
+    assert again.exchanged == model.exchanged and min(map(min, model.exchanged)) > 0
+    assert np.allclose(again.text, model.text, atol=1e-9) and np.allclose(again.meta, model.meta, atol=1e-9)
+
+
+@pytest.mark.parametrize("value", [0.038, -0.455, 0.0, 1e6])
+def test_constant_views_say_nothing(value):
+    y = np.array([1.0] * 10 + [0.0] * 5)
+    z = np.full(15, value) + np.random.default_rng(0).normal(size=15) * 1e-17
+    assert quality._platt(z, y) == (0.0, np.log(11 / 6))
+    assert quality._platt(-y, y) == (0.0, np.log(11 / 6))  # the wrong way round
+    assert quality._platt(y * 1e-3, y)[0] > 100
+
+
+def test_surest_takes_a_share_of_each_class():
+    bins = np.zeros(quality.BINS, np.int64)
+    bins[[10, 20, 400, 500]] = [5, 5, 100, 20]
+    low, high = quality.surest(bins, 0.2, 0.0)
+    logit = (np.repeat(np.arange(quality.BINS), bins) + 0.5) * (2 * quality.BIN_RANGE / quality.BINS) - quality.BIN_RANGE
+    assert (logit <= low).sum() == 10 and (logit >= high).sum() == 20  # 13 each, in whole bins, one at least
+    assert quality.surest(np.zeros(quality.BINS, np.int64), 0.2, 0.0) == (-np.inf, np.inf)
+    one = np.zeros(quality.BINS, np.int64)
+    one[quality._bin_of(np.array([0.5]))] = 9
+    assert quality.surest(one, 0.2, 0.51) == (-np.inf, np.inf)
+
+
+def test_accepted_keeps_the_columns_of_any_table(spark):
+    docs, truth = graded(spark, 200)
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(truth)], "doc_id long, quality int")
+    odd = docs.select(*docs.columns, F.lit(1).alias("meta"), F.array(F.lit(2.5)).alias("p"), F.col("n_chars").cast("int").alias("quality")).drop("n_chars", "lang")
+    kept = quality.accepted(odd, labels)
+    assert kept.schema == odd.schema and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.quality(odd, labels).where("keep").collect()}
+    assert quality.accepted(odd.limit(0), labels).count() == 0

@@ -42,3 +42,14 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], at_most: int = 2048) -> Iterat
     for batch in batches:
         for start in range(0, batch.num_rows, at_most):
             yield batch.slice(start, at_most)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as `df` needs to have no such column."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
