@@ -3,7 +3,7 @@
 import random
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot string, bucket long, g string, node long, label string, n string, y string"
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot string, bucket long, g string, node long, label string, n string, y string, key string, __key string, lost string, first string, wanted string, line_no string"
 NAMES = [c.split()[0] for c in DOC_SCHEMA.split(", ")]
 
 
@@ -25,7 +25,7 @@ def awkward_texts(seed=0):
 
 def documents(spark, texts, ids=None):
     ids = ids if ids is not None else list(range(len(texts)))
-    rows = [(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", None if t is None else len(t), "s", 1, "g", 2, "l", "n", "y") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", None if t is None else len(t), "s", 1, "g", 2, "l", "n", "y", "k", "kk", "a", "b", "c", "d") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
     return spark.createDataFrame(rows, DOC_SCHEMA)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.linking import Forest, link_groups
 from tidemark.llm.packed import bucket_of, pack_numbers, pack_parts, unpack_numbers, unpack_parts
-from tidemark.llm.tables import groups_for, rows_of
+from tidemark.llm.tables import groups_for, rows_of, unused
 from tidemark.llm.wordhash import distinct, text_shingles
 from tidemark.session import materialise
 
@@ -260,18 +260,18 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     that repeat both one stays, whichever its other columns; rows without a doc_id can't be told apart and stay.
     """
     doc_id, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    k, wanted = unused(docs, "key", "wanted")  # columns beside those of the table
     found = materialise(jaccard_components(docs.select(key.alias("doc_id"), "text"), shingle, percent))
-    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("__component"), F.count(F.lit(1)).alias("__rows"))
-    ids = docs.where(doc_id.isNotNull()).select(doc_id.alias("__doc_id"), key.alias("__key")).distinct()
-    named = materialise(found.join(ids, "__key"))
-    first = named.groupBy("__component").agg(F.min_by(F.struct("__key", "__rows"), F.struct("__doc_id", "__key")).alias("__first"))
-    keep = materialise(first.select("__first.*"))
-    by_key = key == F.col("__key")
-    some = docs.where(doc_id.isNotNull())
-    out = some.join(keep.where("__rows = 1").select("__key"), by_key, "left_semi")
-    if not keep.where("__rows > 1").isEmpty():
-        again = some.join(keep.where("__rows > 1").select("__key"), by_key, "left_semi")
-        out = out.unionByName(again.withColumn("__key", key).dropDuplicates(["__key"]).drop("__key"))
+    found = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("rows"))
+    ids = docs.where(doc_id.isNotNull()).select(doc_id.alias("id"), key.alias("key")).distinct()
+    named = materialise(found.join(ids, "key"))
+    first = named.groupBy("component").agg(F.min_by(F.struct("key", "rows"), F.struct("id", "key")).alias("first"))
+    keep = materialise(first.select("first.*"))
+    some = docs.where(doc_id.isNotNull()).withColumn(k, key)
+    out = some.join(keep.where("rows = 1").select(F.col("key").alias(wanted)), F.col(k) == F.col(wanted), "left_semi").drop(k)
+    if not keep.where("rows > 1").isEmpty():
+        again = some.join(keep.where("rows > 1").select(F.col("key").alias(wanted)), F.col(k) == F.col(wanted), "left_semi")
+        out = out.unionByName(again.dropDuplicates([k]).drop(k))
     if not docs.where(doc_id.isNull()).isEmpty():
         out = out.unionByName(docs.where(doc_id.isNull()))
     return out

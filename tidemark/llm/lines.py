@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.linking import Forest, link_groups
 from tidemark.llm.packed import bucket_of, pack_numbers, pack_parts, unpack_numbers, unpack_parts
-from tidemark.llm.tables import arrow_rows, groups_for
+from tidemark.llm.tables import arrow_rows, groups_for, unused
 from tidemark.llm.wordhash import MIX_1, MIX_2, blocks, hash_ranges, hash_runs, mix, word_ranges
 from tidemark.session import materialise
 
@@ -96,8 +96,8 @@ def _wide_simhash(raw, wide, start, end, hashes, weight, lo, pick, size) -> np.n
     return simhash(np.concatenate([hashes[rest], found])[order], votes, np.searchsorted(of[order], np.arange(len(lo))))
 
 
-def line_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text, line number, node, SimHash, start and end byte of every line that takes part."""
+def line_hashes(at: np.ndarray, raw: np.ndarray, signed: bool = True) -> tuple[np.ndarray, ...]:
+    """Text, line number, node, SimHash if `signed`, start and end byte of every line that takes part."""
     newline = np.flatnonzero(raw == 10)
     first = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], (newline + 1)[~np.isin(newline + 1, at)]]))
     start, end = word_ranges(at, raw, _SPACE)
@@ -115,6 +115,8 @@ def line_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
     number = np.searchsorted(newline, first) - np.searchsorted(newline, at[text])
     lo, hi = lo[on], hi[on]
     node = hash_runs(mix(hashes ^ np.uint64(MIX_1)), lo, hi)
+    if not signed:
+        return text[on], number[on], node, None, first[on], last[on]
     weight = np.clip(end - start - 2, 1, LONGEST_WEIGHT).astype(np.int16)
     # lines that take part are not adjacent in general, so words are picked first
     size = hi - lo
@@ -157,7 +159,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches):
             for _, at, raw in blocks(batch.column(1)):
-                _, _, node, _, start, end = line_hashes(at, raw)
+                _, _, node, _, start, end = line_hashes(at, raw, signed=False)
                 data = raw.tobytes()
                 _, once = np.unique(node, return_index=True)
                 yield pa.RecordBatch.from_arrays(
@@ -360,28 +362,21 @@ def normal_text(text: Column) -> Column:
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the lines that repeat an earlier one; documents that lose all they held go.
 
-    All columns stay; n_chars, where there is one, is counted anew for texts that change. See `line_groups` for what
-    repeats. Documents that had no text stay as they are.
+    All columns stay, whatever their names; n_chars, where there is one, is counted anew for texts that change. See
+    `line_groups` for what repeats, and for ties: the occurrence with the smallest doc_id stays, null ids last, then the
+    one first by its text's hash and line number. Equal rows are one document and all keep or lose the same
+    lines. Documents that had no text, null or empty, stay as they are; an empty table stays empty.
     """
     gone = _grouped(docs, similarity).where(~F.col("kept"))
-    gone = gone.groupBy(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
+    doc_id, key, lost = unused(docs, "doc_id_", "key", "lost")
+    gone = gone.groupBy(F.col("doc_id").alias(doc_id), F.col("key").alias(key)).agg(F.collect_set(F.col("line_no").cast("int")).alias(lost))
     gone = materialise(gone)
-    same = (_key() == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
-    joined = docs.join(gone, same, "left").drop("__doc_id", "__key")
-
-    @F.pandas_udf("string")
-    def cut(text, drop):
-        import pandas as pd
-
-        def one(t, d):
-            d = set(d)
-            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d) if d else t
-
-        return pd.Series([one(t, d) for t, d in zip(text, drop, strict=True)])
-
-    changed = F.col("__gone").isNotNull()
-    new = F.when(changed, cut(F.col("text"), F.coalesce("__gone", F.array().cast("array<long>")))).otherwise(F.col("text"))
-    out = joined.withColumn("text", new).where(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    same = (_key() == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id))
+    joined = docs.join(gone, same, "left")
+    changed = F.col(lost).isNotNull()
+    left = F.filter(F.split(F.col("text"), "\n", -1), lambda line, i: ~F.array_contains(lost, i))
+    out = joined.withColumn("text", F.when(changed, F.array_join(left, "\n")).otherwise(F.col("text")))
+    out = out.where(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
