@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,8 +117,6 @@ def rules_to_sql(nodes: Sequence[dict], threshold: float = 0.5, init: float = 0.
     One stage with probabilities: score is the leaf probability. Otherwise the score is init + lr * sum of leaf
     values, compared with logit(threshold).
     """
-    import math
-
     stages = sorted({n["stage"] for n in nodes})
     leaves = [n for n in nodes if n["is_leaf"]]
     if len(stages) == 1 and all(n["pos_proba"] is not None for n in leaves):
@@ -146,6 +145,72 @@ def score_ensemble(df: DataFrame, nodes: Sequence[dict], init: float, lr: float,
     return df.withColumn("rule_score", c["score"]).withColumn("rule_label", c["label"])
 
 
+LEAF_BITS = 64
+
+
+def leaf_masks(nodes: Sequence[dict]) -> list[tuple[list[tuple[str, float, int]], list[float]]]:
+    """Each stage as (feature, threshold, mask) tests and the values of its leaves from left to right.
+
+    A value above the threshold rules out the leaves of the left branch: the mask has a bit for every other leaf. The
+    first leaf that no test rules out is the row's.
+    """
+    out = []
+    for stage in sorted({n["stage"] for n in nodes}):
+        by = {n["node_id"]: n for n in nodes if n["stage"] == stage}
+        tests, values = [], []
+
+        def visit(i: int) -> None:
+            n = by[i]
+            if n["is_leaf"]:
+                values.append(float(n["value"]))
+                return
+            first = len(values)
+            visit(n["left"])
+            tests.append((n["feature"], float(n["threshold"]), first, len(values)))
+            visit(n["right"])
+
+        visit(0)
+        if len(values) > LEAF_BITS:
+            raise ValueError(f"a stage has {len(values)} leaves; masks hold {LEAF_BITS}")
+        every = (1 << LEAF_BITS) - 1
+        out.append(([(f, t, every & ~((1 << b) - (1 << a))) for f, t, a, b in tests], values))
+    return out
+
+
+def score_masks(df: DataFrame, nodes: Sequence[dict], init: float = 0.0, lr: float = 1.0, threshold: float = 0.5) -> DataFrame:
+    """`score_ensemble` for rules of hundreds of trees, with bit masks of leaves instead of expressions.
+
+    A batch is compared with each threshold once, and masks are combined by AND. The rule table is refused beyond
+    MAX_NODES and travels with the function. Undefined values pass no test, so they go left at every split.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if len(nodes) > MAX_NODES:
+        raise ValueError(f"rule table has more than {MAX_NODES} nodes")
+    stages = leaf_masks(nodes)
+    feats = sorted({f for tests, _ in stages for f, _, _ in tests})
+    p = min(max(threshold, 1e-12), 1 - 1e-12)
+    cut = math.log(p / (1 - p))
+    names = [*df.columns, "rule_score", "rule_label"]
+
+    def run(batches):
+        for batch in batches:
+            x = {f: batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in feats}
+            total = np.zeros(batch.num_rows)
+            for tests, values in stages:
+                alive = np.full(batch.num_rows, (1 << LEAF_BITS) - 1, np.uint64)
+                for f, t, mask in tests:
+                    alive &= np.where(x[f] > t, np.uint64(mask), np.uint64((1 << LEAF_BITS) - 1))
+                lowest = alive & (~alive + np.uint64(1))
+                total += np.array(values)[np.bitwise_count(lowest - np.uint64(1))]
+            score = init + lr * total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= cut).astype(np.int32))], names)
+
+    schema = df.select("*", F.lit(0.0).alias("rule_score"), F.lit(0).alias("rule_label")).schema
+    return df.mapInArrow(run, schema)
+
+
 def walk_nodes(df: DataFrame, nodes: DataFrame, features: Sequence[str], depth: int) -> DataFrame:
     """Leaf id per row by walking the node table: one broadcast join per level (node count checked)."""
     if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
