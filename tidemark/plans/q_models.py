@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as C
 from tidemark.layout import compute
 from tidemark.operators import features as X
+from tidemark.operators import forest as T
 from tidemark.operators import models as M
 from tidemark.operators import pool as P
 from tidemark.operators import rules as RU
@@ -18,7 +21,7 @@ from tidemark.plans import base as B
 from tidemark.plans import sqltext as Q
 from tidemark.plans.base import EVENT, FLAG, SUPP, query, r6, rounded
 from tidemark.plans.q_labels_splits import LOOSE, labels_sql
-from tidemark.session import checkpoint_root, materialise
+from tidemark.session import checkpoint_root, materialise, scratch_folder
 from tidemark.sources import bars as S
 
 # --------------------------------------------------------------------------- sources
@@ -267,23 +270,63 @@ def m11(spark, sf_dir):
     return rounded(M.select_variant(v, ["region"]), "f1", "ap")
 
 
-# --------------------------------------------------------------------------- fitted models (rows only)
+# --------------------------------------------------------------------------- fitted models
 
-SMALL_GBT = M.GBTConfig(max_iter=3, max_depth=3, min_leaf=5, subsample=1.0, max_bins=32)
-SMALL_TREE = M.StudentConfig(max_depth=4, min_leaf=5, max_bins=32)
-MODEL_COLS = ["er_dir_p10", "er_dir_p20", "price_return_L10", "price_return_L20"]
+#: Boosted teacher of the queries: all columns, six folds, both sides, trees of 31 leaves; rounds and depth are less than
+#: `Growth`'s own 300 and unlimited, whose time the README gives.
+TEACHER = T.Growth(rounds=20, depth=8, step=0.1)
+FULL_CFG = FeatureConfig(include_overextension=True)
+FULL_COLS = feature_names(FULL_CFG)
+N_FOLDS = 6
+SIDES = ("top", "bottom")
+_full: dict[tuple[str, str], DataFrame] = {}
 
 
-def _folded(spark, sf_dir, k=2):
-    data = materialise(_targets(spark, sf_dir).select("symbol", "bar", "time", "y", "sample_weight", "bottom_score", *MODEL_COLS))
-    return data, materialise(V.purged_folds(data, 40, 5, k))
+def full_pool(spark, sf_dir):
+    """The pool with every column of the bank, written once for all fitted queries of an application."""
+    key = (scratch_folder(spark), sf_dir)
+    if key not in _full or not _readable(_full[key]):
+        bars, lay = B.bars_supp(spark, sf_dir)
+        _full[key] = materialise(P.build_pool(bars, FULL_CFG, LOOSE, False, **lay))
+    return _full[key]
+
+
+def _readable(df):
+    """Whether the scratch table is still there."""
+    spark, path = df.sparkSession, df.inputFiles()[:1]
+    if not path:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(path[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _label(side):
+    return F.col(f"{side}_tier").isin(*C.POSITIVE_TIERS).cast("int")
+
+
+def _sided():
+    """Label and sample weight of each side."""
+    return {s: (_label(s), F.when(_label(s) == 1, 1.0 + F.col(f"{s}_score")).otherwise(1.0)) for s in SIDES}
+
+
+def _side_targets():
+    return [T.Target(s, y, w) for s, (y, w) in _sided().items()]
+
+
+def _folds(pool):
+    return materialise(V.purged_folds(pool.select("symbol", "bar", "time"), 40, 5, N_FOLDS))
+
+
+def _by_side(spark, forest, table):
+    out = [table(spark, forest, s).withColumn("side", F.lit(s)) for s in SIDES]
+    return out[0].unionByName(out[1])
 
 
 @query("m1_oof_scores")
 def m1(spark, sf_dir):
-    """Boosted out-of-fold scores."""
-    data, folds = _folded(spark, sf_dir)
-    return M.oof_scores(data, folds, MODEL_COLS, "y", "sample_weight", SMALL_GBT)
+    """Boosted out-of-fold scores of both sides, all twelve models fitted together."""
+    data = full_pool(spark, sf_dir)
+    return T.out_of_fold(data, _folds(data), FULL_COLS, _sided(), TEACHER)
 
 
 @query("m5_isotonic_calibration")
@@ -295,16 +338,60 @@ def m5(spark, sf_dir):
 
 @query("m6_tree_student")
 def m6(spark, sf_dir):
-    """Nodes of a small tree on hard labels."""
-    data = materialise(_targets(spark, sf_dir))
-    return RU.node_table(spark, M.fit_student(data, MODEL_COLS, "y", "sample_weight", SMALL_TREE), MODEL_COLS)
+    """Nodes of one tree a side on hard labels: at most 16 leaves, depth 4."""
+    forest = T.grow(full_pool(spark, sf_dir), ["symbol", "bar"], FULL_COLS, _side_targets(), T.single_tree())
+    return _by_side(spark, forest, T.nodes)
+
+
+#: Bin edges that SQL can name, for a tree that SQL can grow.
+GRID = {c: [round(-1 + 0.1 * k, 1) for k in range(1, 20)] for c in POOL_COLS}
+_CASES = " UNION ALL ".join(f"SELECT {i} AS f, '{c}' AS feature, {k} AS b, CAST({e!r} AS DOUBLE) AS threshold" for i, c in enumerate(POOL_COLS) for k, e in enumerate(GRID[c]))
+
+
+def _split_sql(name, rows):
+    """Best split of each node of `rows` (node, y, w in whole parts, x): first feature and edge among the best."""
+    return f"""{name}_s AS (SELECT node, f, b, feature, threshold, sum(w) AS h, sum(w * y) AS g, sum(w) FILTER (x[f + 1] <= threshold) AS hl,
+  sum(w * y) FILTER (x[f + 1] <= threshold) AS gl, count(*) AS n, count(*) FILTER (x[f + 1] <= threshold) AS nl FROM {rows} CROSS JOIN edges GROUP BY ALL),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) AS r FROM (
+  SELECT *, CAST(gl AS DOUBLE) * gl / hl + CAST(g - gl AS DOUBLE) * (g - gl) / (h - hl) - CAST(g AS DOUBLE) * g / h AS gain FROM {name}_s WHERE nl >= 30 AND n - nl >= 30))
+  WHERE r = 1 AND gain > 0)"""
+
+
+M6_SQL = f"""WITH {POOL_SQL}, edges AS ({_CASES}),
+r0 AS MATERIALIZED (SELECT 0 AS node, CASE WHEN bottom_tier IN ('strong', 'regular') THEN 1 ELSE 0 END AS y,
+  CAST(round((CASE WHEN bottom_tier IN ('strong', 'regular') THEN 1 + bottom_score ELSE 1 END) * {int(T.EXACT)}) AS BIGINT) AS w, [{", ".join(POOL_COLS)}] AS x FROM pool),
+{_split_sql("s0", "r0")},
+r1 AS MATERIALIZED (SELECT CASE WHEN r0.x[s0.f + 1] <= s0.threshold THEN 1 ELSE 2 END AS node, r0.y, r0.w, r0.x FROM r0, s0),
+{_split_sql("s1", "r1")},
+pick AS (SELECT * FROM s1 QUALIFY row_number() OVER (ORDER BY gain DESC, node) = 1),
+leaf AS (SELECT CASE WHEN p.node IS NULL THEN CAST(r1.node AS VARCHAR) WHEN r1.x[p.f + 1] <= p.threshold THEN r1.node || 'L' ELSE r1.node || 'R' END AS leaf, r1.y, r1.w
+  FROM r1 LEFT JOIN pick AS p ON p.node = r1.node)
+SELECT leaf, (SELECT feature FROM s0) AS root_feature, (SELECT threshold FROM s0) AS root_threshold, (SELECT feature FROM pick) AS next_feature,
+  (SELECT threshold FROM pick) AS next_threshold, count(*) AS n_rows, {r6("CAST(sum(w * y) AS DOUBLE) / sum(w)")} AS pos_share FROM leaf GROUP BY leaf"""
+
+
+@query("m6_leaf_budget", M6_SQL)
+def m6_leaf_budget(spark, sf_dir):
+    """The leaves of a tree with a budget of three: the root is split, then the better of its children."""
+    edges = [np.array(GRID[c]) for c in POOL_COLS]
+    forest = T.grow(materialise(pool(spark, sf_dir)), ["symbol", "bar"], POOL_COLS, [t for t in _side_targets() if t.name == "bottom"], T.single_tree(leaves=3), edges)
+    by = {r["node_id"]: r for r in RU.collect_nodes(T.nodes(spark, forest, "bottom"))}
+    root = by[0]
+    inner = next((by[root[k]] for k in ("left", "right") if not by[root[k]]["is_leaf"]), None)
+    rows = []
+    for i, side in enumerate(("left", "right")):
+        child = by[root[side]]
+        rows += [(f"{i + 1}", child)] if child["is_leaf"] else [(f"{i + 1}L", by[child["left"]]), (f"{i + 1}R", by[child["right"]])]
+    split = (root["feature"], root["threshold"], inner and inner["feature"], inner and inner["threshold"])
+    out = [(leaf, *split, n["n_samples"], n["pos_proba"]) for leaf, n in rows]
+    return rounded(spark.createDataFrame(out, "leaf string, root_feature string, root_threshold double, next_feature string, next_threshold double, n_rows long, pos_share double"), "pos_share")
 
 
 @query("m7_boosted_student")
 def m7(spark, sf_dir):
-    cfg = M.StudentConfig(kind="gboost", n_trees=3, max_depth=2, min_leaf=5, max_bins=32)
-    data = materialise(_targets(spark, sf_dir))
-    return RU.node_table(spark, M.fit_student(data, MODEL_COLS, "y", "sample_weight", cfg), MODEL_COLS)
+    """Nodes of 40 boosted trees of depth 3 a side."""
+    forest = T.grow(full_pool(spark, sf_dir), ["symbol", "bar"], FULL_COLS, _side_targets(), T.small_boost())
+    return _by_side(spark, forest, T.nodes)
 
 
 _TEACH = f"WITH {POOL_SQL} SELECT symbol, time, CASE WHEN 1 / (1 + exp(5 * price_return_L10)) >= 0.6 THEN 1 ELSE 0 END AS pseudo_y, {r6('abs(1 / (1 + exp(5 * price_return_L10)) - 0.5)')} AS pseudo_weight FROM pool"
@@ -320,52 +407,56 @@ def m8(spark, sf_dir):
     return rounded(df.select("symbol", "time", "pseudo_y", "pseudo_weight"), "pseudo_weight")
 
 
+def _distilled(rows, cols):
+    """Tree fitted to the decisions of a teacher, and its rows."""
+    data = M.pseudo_labels(_teacher(rows), "proba", 0.6)
+    return T.grow(data, ["symbol", "bar"], cols, [T.Target("student", F.col("pseudo_y"), F.col("pseudo_weight"))], T.single_tree()), data
+
+
 @query("m8_distilled_student")
 def m8b(spark, sf_dir):
-    df = materialise(_teacher(pool(spark, sf_dir)))
-    return RU.node_table(spark, M.distill(df, MODEL_COLS, "proba", SMALL_TREE, 0.6), MODEL_COLS)
+    return T.nodes(spark, _distilled(full_pool(spark, sf_dir), FULL_COLS)[0], "student")
 
 
 @query("m10_tune_boost")
 def m10(spark, sf_dir):
-    data = materialise(_targets(spark, sf_dir))
-    train, test = data.filter(F.col("time") < CUT), data.filter(F.col("time") >= CUT)
-    return M.tune_boost(train, test, MODEL_COLS, "y", "bottom_score", SMALL_TREE, (5.0, 20.0))
+    """Boosts of positives by out-of-fold precision: four boosts, six folds, both sides, fitted together."""
+    data = full_pool(spark, sf_dir)
+    return T.tune_boosts(data, _folds(data), FULL_COLS, {s: (_label(s), F.col(f"{s}_score")) for s in SIDES}, M.BOOST_GRID)
 
 
 @query("m12_importance")
 def m12(spark, sf_dir):
-    data = materialise(_targets(spark, sf_dir))
-    return M.fit_importance(data, MODEL_COLS, "y", "sample_weight", SMALL_GBT)
+    forest = T.grow(full_pool(spark, sf_dir), ["symbol", "bar"], FULL_COLS, _side_targets(), TEACHER)
+    return _by_side(spark, forest, T.importance)
 
 
 @query("m13_used_features")
 def m13(spark, sf_dir):
-    data = materialise(_teacher(pool(spark, sf_dir)))
-    nodes = RU.node_table(spark, M.distill(data, MODEL_COLS, "proba", SMALL_TREE, 0.6), MODEL_COLS)
-    return RU.used_features(nodes)
+    return RU.used_features(T.nodes(spark, _distilled(full_pool(spark, sf_dir), FULL_COLS)[0], "student"))
+
+
+_EXACT_PARITY = f"WITH {POOL_SQL} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_disagree, true AS exact FROM pool"
 
 
-@query("m18_rule_parity", f"WITH {POOL_SQL} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_disagree, true AS exact FROM pool")
+@query("m18_rule_parity", _EXACT_PARITY)
 def m18(spark, sf_dir):
-    """A fitted tree and its SQL rules give the same label on every row."""
-    data = materialise(_teacher(pool(spark, sf_dir)))
-    model = M.distill(data, MODEL_COLS, "proba", SMALL_TREE, 0.6)
-    nodes = RU.collect_nodes(RU.node_table(spark, model, MODEL_COLS))
-    scored = M.positive_score(model.transform(M.assemble(data, MODEL_COLS)))
-    scored = RU.score_tree(scored, nodes).withColumn("model_label", (F.col("score") >= 0.5).cast("int"))
+    """A fitted tree and its SQL rules give the same share and label on every row."""
+    forest, data = _distilled(materialise(pool(spark, sf_dir)), POOL_COLS)
+    nodes = RU.collect_nodes(T.nodes(spark, forest, "student"))
+    share = T.margins(forest).select("symbol", "bar", F.col("margins")["student"].alias("score"))
+    scored = RU.score_tree(data.join(share, ["symbol", "bar"]), nodes).withColumn("model_label", (F.col("score") >= 0.5).cast("int"))
     return RU.rule_parity(scored, "model_label", "rule_label", "score", "rule_score").select("n_rows", "n_disagree", "exact")
 
 
-@query("m18_ensemble_parity", f"WITH {POOL_SQL} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_disagree, true AS exact FROM pool")
+@query("m18_ensemble_parity", _EXACT_PARITY)
 def m18b(spark, sf_dir):
-    data = materialise(_targets(spark, sf_dir))
-    cfg = M.StudentConfig(kind="gboost", n_trees=3, max_depth=2, min_leaf=5, max_bins=32)
-    model = M.fit_student(data, MODEL_COLS, "y", "sample_weight", cfg)
-    nodes = RU.collect_nodes(RU.node_table(spark, model, MODEL_COLS))
-    scored = model.transform(M.assemble(data, MODEL_COLS))
-    # the fitted margin is half the log-odds
-    scored = RU.score_ensemble(scored, nodes, 0.0, 2.0).withColumn("model_label", F.col("prediction").cast("int"))
+    """Forty boosted trees and their leaf masks give the same margin and label on every row."""
+    data = materialise(pool(spark, sf_dir))
+    forest = T.grow(data, ["symbol", "bar"], POOL_COLS, _side_targets(), T.small_boost())
+    nodes = RU.collect_nodes(T.nodes(spark, forest, "bottom"))
+    margin = T.margins(forest).select("symbol", "bar", F.col("margins")["bottom"].alias("score"))
+    scored = RU.score_masks(data.join(margin, ["symbol", "bar"]), nodes, float(forest.start[1]), 1.0).withColumn("model_label", (F.col("score") >= 0).cast("int"))
     return RU.rule_parity(scored, "model_label", "rule_label").select("n_rows", "n_disagree", "exact")
 
 
