@@ -171,19 +171,20 @@ def price_gate(lb: int, high: bool, name: str = "price_ok") -> Spec:
     return spec
 
 
-def er_falling(p: int, directional: bool, name: str = "er_ok") -> Spec:
+def er_falling(p: int, directional: bool, name: str = "er_ok", value: str = "er_val") -> Spec:
     """Efficiency ratio below that of the bar before; undefined counts as 0."""
+    now = f"_er0_{p}_{int(directional)}"
 
     def spec(fr: Frames) -> Calc:
         base = X.efficiency_ratio(p, directional, "_er_val")(fr)
-        stages = [*base.stages, {"_er0": F.coalesce(base.out["_er_val"], F.lit(0.0))}]
-        stages.append({"_er_prev": F.coalesce(fr.lag("_er0", 1), F.lit(0.0))})
-        return Calc(stages, {"er_val": F.col("_er0"), name: F.col("_er0") < F.col("_er_prev")}, lookback=p + 2)
+        stages = [*base.stages, {now: F.coalesce(base.out["_er_val"], F.lit(0.0))}]
+        stages.append({f"{now}_p": F.coalesce(fr.lag(now, 1), F.lit(0.0))})
+        return Calc(stages, {value: F.col(now), name: F.col(now) < F.col(f"{now}_p")}, lookback=p + 2)
 
     return spec
 
 
-def _momentum(s: int) -> Spec:
+def momentum_inputs(s: int, divergence: str = "mom_div", velocity: str = "mom_vel") -> Spec:
     """Momentum divergence and velocity with undefined values as 0."""
 
     def spec(fr: Frames) -> Calc:
@@ -193,8 +194,8 @@ def _momentum(s: int) -> Spec:
         return Calc(
             stages,
             {
-                "mom_div": F.coalesce(div.out["d"], zero),
-                "mom_vel": F.coalesce(F.col(f"_r0_{s}") - F.col(f"_r0p_{s}"), zero),
+                divergence: F.coalesce(div.out["d"], zero),
+                velocity: F.coalesce(F.col(f"_r0_{s}") - F.col(f"_r0p_{s}"), zero),
             },
             lookback=s + 2,
         )
@@ -210,7 +211,7 @@ def side_specs(p: SidePreset) -> list[Spec]:
         X.sma_slope(p.s_detect, "slope_val"),
         X.linreg_slope(p.s_detect, "linreg_val"),
         volume_surge(p.fast_len, p.s_detect),
-        _momentum(p.s_detect),
+        momentum_inputs(p.s_detect),
         price_gate(p.price_lb, p.high),
         er_falling(p.er_period, p.er_directional),
         X.pivots(PIVOT_LB),
@@ -280,9 +281,11 @@ def with_drift(df: DataFrame, lookback: int, max_bars: int | None = None, chunk_
     return out.drop("time").withColumnRenamed("_time", "time").withColumn("pivot_drift", F.coalesce("drift", F.lit(0.0))).drop("drift")
 
 
-def fire_with_cooldown(candidates: DataFrame, cooldown: int, by: Sequence[str] = (), segment_bars: int = 4_096) -> DataFrame:
+def fire_with_cooldown(candidates: DataFrame, cooldown: int, by: Sequence[str] = (), segment_bars: int = 4_096, column: str | None = None) -> DataFrame:
     """Candidates (by, symbol, bar) that fire: more than `cooldown` bars after the previous fire of the series.
 
+    With `column` each series has its own cooldown there, the same in all its rows and at most `cooldown`.
+
     Segment by segment: what a segment hands on is only how many of its successor's first bars are still blocked, so
     the possible hand-overs are tabulated per segment, chained, and each segment is replayed from its own start.
     """
@@ -290,7 +293,8 @@ def fire_with_cooldown(candidates: DataFrame, cooldown: int, by: Sequence[str] =
     size = max(segment_bars, cooldown + 1)
     segs = materialise(
         candidates.withColumn("_seg", F.floor(F.col("bar") / F.lit(size)))
-        .groupBy(*keys, "_seg")
+        .withColumn("_wait", F.lit(cooldown) if column is None else F.col(column).cast("int"))
+        .groupBy(*keys, "_seg", "_wait")
         .agg(F.sort_array(F.collect_list(F.col("bar").cast("long"))).alias("_bars"))
     )
     begin = F.col("_seg") * F.lit(size)
@@ -300,7 +304,7 @@ def fire_with_cooldown(candidates: DataFrame, cooldown: int, by: Sequence[str] =
         zero = F.struct((begin + state - 1).cast("long").alias("free"), none.alias("fired"))
 
         def step(acc: Column, b: Column) -> Column:
-            hit = F.struct((b + F.lit(cooldown + 1)).alias("free"), F.array_append(acc["fired"], b).alias("fired"))
+            hit = F.struct((b + F.col("_wait") + 1).alias("free"), F.array_append(acc["fired"], b).alias("fired"))
             return F.when(b >= acc["free"], hit).otherwise(acc)
 
         return F.aggregate("_bars", zero, step)
@@ -309,7 +313,7 @@ def fire_with_cooldown(candidates: DataFrame, cooldown: int, by: Sequence[str] =
         left = replay(state)["free"] - (begin + F.lit(size))
         return (F.greatest(left, F.lit(0)) + 1).cast("int")
 
-    maps = segs.withColumn("_end", F.transform(F.sequence(F.lit(1), F.lit(cooldown + 1)), handed))
+    maps = segs.withColumn("_end", F.transform(F.sequence(F.lit(1), F.col("_wait") + 1), handed))
     starts = carry_states(maps, keys, "_seg", "_end", idle=1)
     fired = segs.join(starts, [*keys, "_seg"]).withColumn("bar", F.explode(replay(F.col("start"))["fired"]))
     return fired.select(*keys, "bar")

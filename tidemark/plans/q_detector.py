@@ -12,11 +12,13 @@ from tidemark.operators import detector as D
 from tidemark.operators import events as EV
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
+from tidemark.operators import presets as PS
 from tidemark.plans import base as B
 from tidemark.plans import sqltext as Q
 from tidemark.plans.base import SUPP, query, r6, rounded
 from tidemark.plans.q_features import feature
 from tidemark.plans.q_labels_splits import LOOSE
+from tidemark.session import materialise
 
 HIGH, LOW = D.DEFAULT_PRESET
 # rougher thresholds than the default, so that the chain fires on the test series
@@ -195,9 +197,9 @@ _bool_feature(
     },
     surge_sql(HIGH),
 )
-_bool_feature("d9_momentum_divergence_vote", [D._momentum(44)], {"vote": (lambda: F.col("mom_div") < 0, "mom_div < 0")}, mom_sql(44))
+_bool_feature("d9_momentum_divergence_vote", [D.momentum_inputs(44)], {"vote": (lambda: F.col("mom_div") < 0, "mom_div < 0")}, mom_sql(44))
 _bool_feature(
-    "d10_momentum_velocity_vote", [D._momentum(44)],
+    "d10_momentum_velocity_vote", [D.momentum_inputs(44)],
     {
         "reversal_high": (lambda: F.col("mom_vel") <= -0.0295, "mom_vel <= -0.0295"),
         "trend_high": (lambda: F.col("mom_vel") >= 0.0295, "mom_vel >= 0.0295"),
@@ -410,17 +412,37 @@ def d1l(spark, sf_dir):
     return D.fires(bars, LOW, **lay).select("symbol", "bar")
 
 
+#: Presets of both sides by rule: the default and two rougher ones, with other confirmations and cooldowns.
+PRESETS = [
+    (f"{name}|{n}|{wait}", replace(p, confirm_count=n, cooldown=wait))
+    for name, pair in (("default", (HIGH, LOW)), ("easy", (EASY_HIGH, EASY_LOW)), ("plain", (replace(EASY_HIGH, use_edge=False, er_gate=False), replace(EASY_LOW, use_edge=False, er_gate=True, votes=D.VOTES[:4]))))
+    for n, wait in ((1, 3), (2, 9))
+    for p in pair
+]
+_FIRES = " UNION ALL ".join(f"SELECT '{n}' AS preset, '{p.side}' AS side, symbol, bar FROM ({_default_sql(p)})" for n, p in PRESETS)
+
+
+@query("d22_preset_fires", _FIRES)
+def d22_fires(spark, sf_dir):
+    """Fires of a parameter table of presets, both sides, over one table of shared inputs."""
+    bars, lay = B.bars_supp(spark, sf_dir)
+    presets = PS.read_presets(PS.preset_table(spark, PRESETS))
+    return PS.sweep_presets(bars, presets, **lay).select("preset", "side", "symbol", "bar")
+
+
 @query("d22_preset_sweep")
 def d22(spark, sf_dir):
-    """Event scores of a grid of presets in one job, deflated by the number of presets."""
+    """Event scores of the presets, both sides, in one job, deflated by the number of presets."""
     bars, lay = B.bars_supp(spark, sf_dir)
-    grid = D.preset_grid(EASY_LOW, cooldown=(3, 9), confirm_count=(1, 2))
-    hits = D.sweep(bars, grid, **lay).select("preset", "symbol", "bar", F.lit(True).alias("is_pred"), F.lit(False).alias("is_true"))
-    truth = L.label_turns(bars, LOOSE, **lay).filter("bottom_tier <> 'none'")
-    names = F.array(*[F.lit(n) for n, _ in grid])
-    truth = truth.select(F.explode(names).alias("preset"), "symbol", "bar", F.lit(False).alias("is_pred"), F.lit(True).alias("is_true"))
-    scores = EV.event_prf(hits.unionByName(truth), 3, ["preset"])
+    bars = materialise(bars)
+    hits = PS.sweep_presets(bars, PRESETS, **lay).select("preset", "side", "symbol", "bar", F.lit(True).alias("is_pred"), F.lit(False).alias("is_true"))
+    names = {s: F.array(*[F.lit(n) for n, p in PRESETS if p.side == s]) for s in ("high", "low")}
+    labels = materialise(L.label_turns(bars, LOOSE, **lay).select("symbol", "bar", "top_tier", "bottom_tier"))
+    for side, tier in (("high", "top_tier"), ("low", "bottom_tier")):
+        truth = labels.filter(f"{tier} <> 'none'")
+        hits = hits.unionByName(truth.select(F.explode(names[side]).alias("preset"), F.lit(side).alias("side"), "symbol", "bar", F.lit(False).alias("is_pred"), F.lit(True).alias("is_true")))
+    scores = EV.event_prf(hits, 3, ["preset", "side"])
     spread = scores.agg(F.coalesce(F.stddev_samp("f1"), F.lit(0.0)).alias("s")).scalar()
     return rounded(
-        scores.withColumn("deflated_f1", C.deflated_metric(F.col("f1"), F.lit(len(grid)), spread)), "precision", "recall", "f1", "deflated_f1"
+        scores.withColumn("deflated_f1", C.deflated_metric(F.col("f1"), F.lit(len(PRESETS)), spread)), "precision", "recall", "f1", "deflated_f1"
     )
