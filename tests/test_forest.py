@@ -196,3 +196,24 @@ def test_targets_without_both_classes(spark):
 def test_growth_refuses(bad):
     with pytest.raises(ValueError):
         T.Growth(**bad)
+
+
+@pytest.mark.parametrize(("ratio", "digits"), [(1, 1), (3, 1), (3, 4), (1000, 4)])
+@pytest.mark.parametrize("by", [(), ("symbol",), ("kind",)])
+def test_negatives_are_those_with_the_smallest_hashes(spark, monkeypatch, ratio, digits, by):
+    import hashlib
+
+    from tidemark.operators import models as M
+
+    monkeypatch.setattr(M, "PREFIX_DIGITS", digits)
+    rng = np.random.default_rng(0)
+    rows = [("ABC"[i % 3], i, int(rng.random() < 0.1 and i % 3 != 2), "xy"[i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "symbol string, bar long, y int, kind string").repartition(6)
+    want = []
+    for group in {(r[0] if by == ("symbol",) else r[3] if by else None) for r in rows}:
+        here = [r for r in rows if group is None or group in (r[0], r[3])]
+        yes = [r for r in here if r[2]]
+        no = sorted((r for r in here if not r[2]), key=lambda r: (hashlib.md5(f"{r[0]}|{r[1]}|42".encode()).hexdigest(), r))
+        want += yes + (no[: ratio * len(yes)] if yes else no)
+    assert sorted(map(tuple, M.subsample_negatives(df, "y", ratio, by=by).collect())) == sorted(want)
+    assert M.subsample_negatives(df.limit(0), "y", ratio, by=by).count() == 0

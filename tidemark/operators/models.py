@@ -9,15 +9,17 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.layout import Calc, Frames, compute
 from tidemark.operators.ranking import average_precision, with_group_rank
+from tidemark.operators.splits import per_symbol_join
 from tidemark.session import materialise
 
 # Sampling of negatives, grid of boosts, and limits of the selection.
 NEG_PER_POS = 40
+PREFIX_DIGITS = 4
 BOOST_GRID = (5.0, 10.0, 20.0, 40.0)
 RECOVERY_FLOOR, DEPLOY_F1_FRAC, NEAR_TIE = 0.70, 0.50, 0.98
 
@@ -128,7 +130,8 @@ def zscore_by_series(df: DataFrame, cols: Sequence[str], train: Column, by: Sequ
     aggs = []
     for c in cols:
         aggs += [F.avg(x[c]).alias(f"_m_{c}"), F.stddev_pop(x[c]).alias(f"_s_{c}"), F.count(x[c]).alias(f"_n_{c}")]
-    per = materialise(df.groupBy(*keys).agg(*aggs))
+    spread = "bar" in df.columns  # rows of a symbol go to many tasks by their place
+    per = materialise(df.groupBy(*keys).agg(*aggs, *([(F.max("bar") + 1).alias("_bars")] if spread else [])))
     pooled = []
     for c in cols:
         n, m, s = F.col(f"_n_{c}"), F.col(f"_m_{c}"), F.col(f"_s_{c}")
@@ -141,8 +144,10 @@ def zscore_by_series(df: DataFrame, cols: Sequence[str], train: Column, by: Sequ
         *keys,
         *[F.coalesce(f"_m_{c}", f"_gm_{c}").alias(f"_m_{c}") for c in cols],
         *[F.coalesce(f"_s_{c}", f"_gs_{c}").alias(f"_s_{c}") for c in cols],
+        *(["_bars"] if spread else []),
     )
-    out = df.join(materialise(stats), keys)
+    stats = materialise(stats)
+    out = per_symbol_join(df, stats, "_bars", keys=keys, how="inner") if spread else df.join(stats, keys)
 
     def z(c: str) -> Column:
         sd = F.when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
@@ -248,15 +253,33 @@ def subsample_negatives(df: DataFrame, y: str, ratio: int = NEG_PER_POS, seed: i
 
     Negatives are chosen by the order of a hash of (symbol, bar, seed): the same rows whatever the partitioning.
     """
-    keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
-    n = materialise(rows.groupBy(*keys).agg(F.sum(y).cast("long").alias("_np")))
+    keys = list(by)
+    want = F.lit(ratio) * F.col("_np")
+    pos = df.groupBy(*keys).agg(F.sum(y).cast("long").alias("_np"), (F.max("bar") + 1).alias("_bars"))
     draw = F.md5(F.concat_ws("|", "symbol", F.col("bar").cast("string"), F.lit(str(seed))))
-    neg = rows.filter(F.col(y) == 0).withColumn("_h", draw)
-    ranked = with_group_rank(neg, keys, [F.col("_h"), F.col("symbol"), F.col("bar")], "_r").drop("_n_group", "_h")
-    kept = ranked.join(n, keys).filter((F.col("_np") == 0) | (F.col("_r") < F.lit(ratio) * F.col("_np"))).drop("_r", "_np")
-    out = rows.filter(F.col(y) == 1).unionByName(kept)
-    return out if by else out.drop("_all")
+    neg = df.filter(F.col(y) == 0).withColumn("_h", draw).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
+    # counts by prefix of the hash show up to which one all are taken; 16 ** PREFIX_DIGITS rows a group at most
+    counts = neg.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_below", below)
+    if keys:
+        joined = counts.join(pos, keys)
+    else:
+        total = pos.first()
+        joined = counts.withColumns({c: F.lit(total[c]).cast("long") for c in ("_np", "_bars")})
+    reached = F.when((F.col("_np") > 0) & (F.col("_below") + F.col("_n") > want) & (F.col("_below") <= want), F.struct("_p", (want - F.col("_below")).alias("left")))
+    cut = materialise(joined.groupBy(*keys).agg(F.min(reached).alias("_cut"), F.max("_bars").alias("_bars")))
+    if keys:
+        placed = per_symbol_join(neg, cut, "_bars", keys=keys) if "symbol" in keys else neg.join(cut.drop("_bars"), keys)
+    else:
+        row = cut.select("_cut.*").first()
+        at = F.struct(F.lit(row["_p"]).alias("_p"), F.lit(row["left"]).cast("long").alias("left")) if row and row["_p"] is not None else F.lit(None).cast("struct<_p: string, left: bigint>")
+        placed = neg.withColumn("_cut", at)
+    sure = placed.where("_cut is null or _p < _cut._p")
+    # only the prefix that holds the last ones is ranked
+    edge = placed.where("_p = _cut._p").withColumn("_left", F.col("_cut.left"))
+    edge = with_group_rank(edge, keys, [F.col("_h"), F.col("symbol"), F.col("bar")], "_r").where("_r < _left")
+    return df.filter(F.col(y) == 1).unionByName(sure.select(*df.columns)).unionByName(edge.select(*df.columns))
 
 
 def tune_boost(

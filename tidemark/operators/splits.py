@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +48,15 @@ def with_block(df: DataFrame, n_folds: int, align_time: bool = False) -> DataFra
     return out
 
 
-def per_symbol_join(rows: DataFrame, per_symbol: DataFrame, n_col: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Left join of bar rows with one row per symbol, keyed by (symbol, chunk of bars).
+def per_symbol_join(rows: DataFrame, per_symbol: DataFrame, n_col: str, chunk_rows: int = CHUNK_ROWS, keys: Sequence[str] = ("symbol",), how: str = "left") -> DataFrame:
+    """Join of bar rows with one row per symbol (or `keys`), keyed by (symbol, chunk of bars).
 
     The small side is repeated once per chunk, so a symbol with a third of all rows is spread over many tasks.
     """
     last = F.floor((F.col(n_col) - F.lit(1)) / F.lit(chunk_rows))
     spread = per_symbol.withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(n_col)
     keyed = rows.withColumn("_ck", F.floor(F.col("bar") / F.lit(chunk_rows)))
-    return keyed.join(spread, ["symbol", "_ck"], "left").drop("_ck")
+    return keyed.join(spread, [*keys, "_ck"], how).drop("_ck")
 
 
 def bands(blocked: DataFrame, horizon: int, embargo: int) -> DataFrame:
