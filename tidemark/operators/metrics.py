@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import with_prf
 from tidemark.operators.events import match_counts
 from tidemark.operators.ranking import quantiles
+from tidemark.operators.sweep import match_gains
 from tidemark.session import materialise
 
 COUNTS = ("tp", "fp", "fn")
@@ -96,40 +97,40 @@ def tune_threshold(
     """Threshold with the best event F1 per group; ties go to the highest, a group without events gets 0.5.
 
     Candidates are `grid` quantiles of the score and the value just below the maximum. With a `budget` (least, factor)
-    candidates that flag more than max(least, factor x events) rows are dropped before any matching; (512, 6) is the
-    setting of a matcher whose time is cubic, and matching here is linear, so there is none by default. Each flagged
-    row carries the list of candidates it passes, so only rows that some candidate flags are repeated.
+    candidates that flag more than max(least, factor x events) rows are dropped; (512, 6) is the setting of a matcher
+    whose time is cubic, so there is none by default. Rows are matched once for all candidates, see `sweep`. Equal
+    ratios 2 tp / (2 tp + fp + fn) are equal doubles, so ties are exact.
     """
     keys = list(by)
-    rows = materialise(df.select(*keys, "symbol", "bar", F.col(score).alias("_s"), F.col(true).alias("_y")))
+    given = df.select(*keys, "symbol", "bar", F.col(score).alias("_s"), F.coalesce(F.col(true), F.lit(False)).alias("_y"))
+    rows = materialise(given)
     probs = [i / (grid - 1) for i in range(grid)] if grid > 1 else [0.0]
     cand = quantiles(rows, keys, "_s", probs).select(*keys, F.col("value").alias("thr"))
     top = rows.groupBy(*keys).agg(F.max("_s").alias("_m")).select(*keys, _just_below(F.col("_m")).alias("thr"))
     cand = cand.unionByName(top).distinct()
     # at most grid + 1 thresholds per group; written so that its size is known to the joins
     lists = materialise(cand.groupBy(*keys).agg(F.sort_array(F.collect_list("thr"), False).alias("_thrs")))
-    hits = rows.join(lists, keys).withColumn("_k", F.size(F.filter("_thrs", lambda t: F.col("_s") < t)))
-    per = hits.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("_y").cast("long")).alias("t"))
-    # rows are counted by the first candidate they pass; _k = number of stricter candidates
-    tallies = per.groupBy(*keys).agg(F.collect_list(F.struct("_k", "c")).alias("_cs"), F.sum("t").alias("n_true"))
+    # rows join at the first candidate they pass: _k = number of stricter candidates
+    failed = F.size(F.filter("_thrs", lambda t: F.col("_s") < t))
+    steps = rows.join(lists, keys).withColumns({"_k": failed, "_steps": F.size("_thrs")}).drop("_s", "_thrs")
+    steps = steps.withColumn("_k", F.when(F.col("_k") < F.col("_steps"), F.col("_k")))
+    steps = materialise(steps)
+    per = steps.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("_y").cast("long")).alias("t"))
+    per = per.join(match_gains(steps, tolerance, keys), [*keys, "_k"], "left")
+    tallies = per.groupBy(*keys).agg(F.collect_list(F.struct("_k", "c", "gain")).alias("_cs"), F.sum("t").alias("n_true"))
     spread = tallies.join(lists, keys).select(*keys, "n_true", "_cs", F.posexplode("_thrs").alias("_i", "thr"))
-    flagged = F.aggregate(
-        "_cs", F.lit(0).cast("long"), lambda a, x: a + F.when(x["_k"] <= F.col("_i"), x["c"]).otherwise(F.lit(0).cast("long"))
-    )
-    kept = spread.withColumn("n_flagged", flagged).filter(F.col("n_true") > 0)
+
+    def upto(field: str) -> Column:
+        def add(total: Column, x: Column) -> Column:
+            return total + F.when(x["_k"] <= F.col("_i"), F.coalesce(x[field], F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+        return F.aggregate("_cs", F.lit(0).cast("long"), add)
+
+    scored = spread.withColumns({"n_flagged": upto("c"), "tp": upto("gain")}).filter(F.col("n_true") > 0)
     if budget is not None:
-        kept = kept.filter(F.col("n_flagged") <= F.greatest(F.lit(budget[0]).cast("long"), F.col("n_true") * budget[1]))
-    kept = materialise(kept)
-    reach = kept.groupBy(*keys).agg(F.max("_i").alias("_last"))
-    # flagged rows once per candidate they pass, truths once per candidate
-    marked = rows.join(lists.join(reach, keys), keys).withColumn("_k", F.size(F.filter("_thrs", lambda t: F.col("_s") < t)))
-    marked = marked.filter((F.col("_k") <= F.col("_last")) | F.col("_y"))
-    start = F.when(F.col("_y"), F.lit(0)).otherwise(F.col("_k"))
-    ev = marked.withColumn("_i", F.explode(F.sequence(start, F.col("_last")))).select(
-        *keys, "_i", "symbol", "bar", (F.col("_k") <= F.col("_i")).alias("is_pred"), F.col("_y").alias("is_true")
-    )
-    counts = match_counts(ev, tolerance, [*keys, "_i"]).groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    scored = with_prf(counts).join(kept.select(*keys, "_i", "thr"), [*keys, "_i"])
+        scored = scored.filter(F.col("n_flagged") <= F.greatest(F.lit(budget[0]).cast("long"), F.col("n_true") * budget[1]))
+    # 2 tp + fp + fn = flagged rows + events
+    scored = scored.withColumn("f1", 2 * F.col("tp") / (F.col("n_flagged") + F.col("n_true")))
     best = scored.groupBy(*keys).agg(F.max(F.struct("f1", F.col("thr").alias("threshold"))).alias("_b"))
     groups = rows.groupBy(*keys).agg(
         F.sum(F.col("_y").cast("long")).alias("n_true"), F.max("_s").alias("_max")
