@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.layout import global_rank
-
+from tidemark.session import materialise
 
 #: Combinations of blocks are a list in the plan and a broadcast table: C(16, 8).
 MAX_COMBINATIONS = 12_870
+GROUP_CONFIGS, RANGE_COMBOS = 512, 2_048
+#: Combinations times configs that are worked on at a time.
+SLICE_CELLS = 1 << 16
 
 
 def _masks(n_splits: int) -> list[int]:
@@ -51,7 +57,8 @@ def block_stats(perf: DataFrame, n_splits: int) -> DataFrame:
 def combo_performance(perf: DataFrame, n_splits: int) -> DataFrame:
     """(combo, config, is_perf, oos_perf) for every way to pick half of the blocks.
 
-    Block sums are additive, so raw rows are read once; each (block, config) row is repeated per combination.
+    Block sums are additive, so raw rows are read once; each (block, config) row is repeated per combination. `pbo_logits`
+    does without this table.
     """
     picks = F.array(*[F.lit(m) for m in _masks(n_splits)])
     rows = block_stats(perf, n_splits).select("*", F.posexplode(picks).alias("combo", "_mask"))
@@ -69,30 +76,114 @@ def combo_performance(perf: DataFrame, n_splits: int) -> DataFrame:
     )
 
 
-def pbo_logits(perf: DataFrame, n_splits: int = 10) -> DataFrame:
-    """(combo, best_config, logit): out-of-sample rank of the in-sample best as a logit; ties share the mean rank."""
-    table = combo_performance(perf, n_splits)
-    # equal in-sample scores: the lowest config wins
-    top = table.groupBy("combo").agg(F.max("is_perf").alias("_top"))
-    best = (
-        table.join(F.broadcast(top), "combo")
-        .filter(F.col("is_perf") == F.col("_top"))
-        .groupBy("combo")
-        .agg(F.min("config").alias("best_config"), F.min_by("oos_perf", "config").alias("_ref"))
-    )
-    # one row per combination: MAX_COMBINATIONS at most, so both can be broadcast
-    ranked = (
-        table.join(F.broadcast(best), "combo")
-        .groupBy("combo", "best_config")
-        .agg(
-            F.sum((F.col("oos_perf") < F.col("_ref")).cast("long")).alias("_less"),
-            F.sum((F.col("oos_perf") == F.col("_ref")).cast("long")).alias("_eq"),
-            F.count(F.lit(1)).alias("_n"),
+def _half_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of every subset of the leading axis, by bit mask: a mask adds its highest block to the rest."""
+    out = np.zeros((1 << len(x), *x.shape[1:]))
+    for b in range(len(x)):
+        out[1 << b : 2 << b] = out[: 1 << b] + x[b]
+    return out
+
+
+def _ratios(n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> np.ndarray:
+    """`_performance` over arrays; no rows give NaN."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = s / n
+        var = np.where(n > 1, np.maximum((ss - s * mean) / (n - 1), 0.0), 0.0)
+        return np.where(var <= 1e-14 * (ss / n), mean, mean / np.sqrt(var))
+
+
+def _sides(row: dict, n_splits: int, masks: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """In-sample and out-of-sample performance, (combination, config), of slices of the combinations.
+
+    The blocks are cut in two halves, whose subset sums are tabulated: a combination is one addition for each side,
+    and no sum is carried from one combination to the next.
+    """
+    x = np.asarray(row["stats"], float).reshape(-1, n_splits, 3).transpose(1, 2, 0)
+    cut = n_splits // 2
+    low, high = _half_sums(x[:cut]), _half_sums(x[cut:])
+    every = (1 << cut) - 1
+    at = max(1, SLICE_CELLS // x.shape[2])
+    for i in range(0, len(masks), at):
+        m = masks[i : i + at]
+        inside = low[m & every] + high[m >> cut]
+        outside = low[~m & every] + high[~(m >> cut) & ((1 << n_splits - cut) - 1)]
+        yield slice(i, i + len(m)), *(_ratios(t[:, 0], t[:, 1], t[:, 2]) for t in (inside, outside))
+
+
+def pbo_logits(
+    perf: DataFrame, n_splits: int = 10, group_configs: int = GROUP_CONFIGS, range_combos: int = RANGE_COMBOS
+) -> DataFrame:
+    """(combo, best_config, logit): out-of-sample rank of the in-sample best as a logit; ties share the mean rank.
+
+    Configs go in groups, combinations in ranges, and a task takes one of each: no row per combination and config.
+    Each combination's best in a group is found first, then the best of all, then every group counts the configs below
+    and level with it. Equal in-sample scores: the lowest config wins. A config without values on a side is undefined
+    there: never best, below and level with none, yet one of the configs ranked.
+    """
+    masks = np.array(_masks(n_splits), np.int64)
+    total = len(masks)
+    stats = materialise(block_stats(perf, n_splits))
+    configs = stats.agg(F.count_distinct("config")).first()[0]
+    groups = max(1, -(-configs // group_configs))
+    flat = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(n_splits - 1)),
+            lambda b: F.coalesce(F.element_at("_by", b), F.array(*[F.lit(0.0)] * 3)),
         )
     )
-    omega = (F.col("_less") + (F.col("_eq") + 1) / 2.0) / (F.col("_n") + 1.0)
+    entry = F.struct("block", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("n", "s", "ss")]))
+    each = stats.groupBy("config").agg(F.map_from_entries(F.collect_list(entry)).alias("_by")).select("config", flat.alias("_f"))
+    packed = each.groupBy(F.pmod(F.xxhash64("config"), F.lit(groups)).alias("_g")).agg(
+        F.sort_array(F.collect_list(F.struct("config", "_f"))).alias("_l")
+    )
+    ranges = F.explode(F.sequence(F.lit(0), F.lit((total - 1) // range_combos))).alias("_r")
+    packed = materialise(packed.select(F.col("_l.config").alias("configs"), F.flatten(F.col("_l._f")).alias("stats"), ranges))
+    packed = packed.repartition("_r", F.xxhash64("configs"))
+
+    def masks_of(r: int) -> np.ndarray:
+        return masks[r * range_combos : (r + 1) * range_combos]
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                for at, inside, outside in _sides(row, n_splits, masks_of(row["_r"])):
+                    score = np.where(np.isnan(inside), -np.inf, inside)
+                    best = score.argmax(axis=1)
+                    i = np.flatnonzero(~np.isnan(inside).all(axis=1))
+                    ref = outside[i, best[i]]
+                    yield pd.DataFrame(
+                        {
+                            "combo": row["_r"] * range_combos + at.start + i,
+                            "score": score[i, best[i]],
+                            "config": [row["configs"][k] for k in best[i]],
+                            "ref": ref,
+                        }
+                    )
+
+    kind = perf.schema["config"].dataType.simpleString()
+    found = packed.mapInPandas(tops, f"combo int, score double, config {kind}, ref double")
+    order = F.struct((-F.col("score")).alias("minus"), "config", "ref")
+    best = materialise(found.groupBy("combo").agg(F.min(order).alias("_b")).select("combo", "_b.config", "_b.ref"))
+    # the outcomes of a range as one list
+    of_range = best.groupBy(F.floor(F.col("combo") / range_combos).cast("int").alias("_r")).agg(
+        F.map_from_entries(F.collect_list(F.struct("combo", "ref"))).alias("_refs")
+    )
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                first, refs = row["_r"] * range_combos, dict(row["_refs"])
+                for at, _, outside in _sides(row, n_splits, masks_of(row["_r"])):
+                    combo = first + np.arange(at.start, at.stop)
+                    ref = np.array([refs.get(c, np.nan) for c in combo.tolist()], float)[:, None]
+                    less, eq = (outside < ref).sum(axis=1), (outside == ref).sum(axis=1)
+                    yield pd.DataFrame({"combo": combo, "less": less, "eq": eq, "n": outside.shape[1]})
+
+    counted = packed.join(of_range, "_r").mapInPandas(places, "combo int, less long, eq long, n long")
+    ranked = counted.groupBy("combo").agg(*[F.sum(c).alias(c) for c in ("less", "eq", "n")]).join(best, "combo")
+    omega = (F.col("less") + (F.col("eq") + 1) / 2.0) / (F.col("n") + 1.0)
     clipped = F.greatest(F.lit(1e-12), F.least(F.lit(1.0 - 1e-12), omega))
-    return ranked.select("combo", "best_config", F.log(clipped / (F.lit(1.0) - clipped)).alias("logit"))
+    return ranked.select("combo", F.col("config").alias("best_config"), F.log(clipped / (F.lit(1.0) - clipped)).alias("logit"))
 
 
 def pbo_cscv(perf: DataFrame, n_splits: int = 10) -> DataFrame:
