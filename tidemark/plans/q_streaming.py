@@ -18,9 +18,9 @@ from tidemark.sources.bars import instant
 from tidemark.streaming import stream as T
 
 
-def _as_stream(df, parts: int = 1):
-    """A materialised table, read as a stream of `parts` micro-batches that follow each other in time."""
-    kept = materialise(df if parts == 1 else df.repartitionByRange(parts, "time"))
+def _as_stream(df, parts: int = 1, order="time"):
+    """A materialised table, read as a stream of `parts` micro-batches that follow each other in `order`."""
+    kept = materialise(df if parts == 1 else df.repartitionByRange(parts, order))
     source = df.sparkSession.readStream.schema(kept.schema)
     if parts > 1:
         # files are numbered in order of time, and written one after the other as the source takes them by age
@@ -97,3 +97,48 @@ def t2b(spark, sf_dir):
 def t4b(spark, sf_dir):
     bars, _ = B.bars_event(spark, sf_dir)
     return rounded(T.run_to_table(T.stream_labels(_as_stream(bars, 4), LOOSE)), "top_score", "bottom_score")
+
+
+LATE = 6 * HOUR
+_PASSED = f" WHERE t.time <= (SELECT max(time) FROM bars) - {LATE}"
+
+
+def _shuffled(df, parts: int):
+    """Bars as a stream of micro-batches in which each bar arrives up to LATE seconds after its time."""
+    arrival = F.col("time") + F.pmod(F.xxhash64("symbol", "time"), F.lit(LATE))
+    return _as_stream(df, parts, arrival)
+
+
+@query("t2_stream_features_late", ORACLES["t2_stream_features"] + _PASSED)
+def t2c(spark, sf_dir):
+    """Bars out of order within the delay: they wait for the watermark, and the last ones still do at the end."""
+    with T.timer_state(spark):
+        out = T.run_to_table(T.stream_features(_shuffled(B.bars_event(spark, sf_dir)[0], 4), delay=f"{LATE} seconds"))
+    return rounded(out, "atr", "gjr_asym", "up_streak_norm")
+
+
+@query(
+    "t3_stream_detect_late",
+    ORACLES["t3_stream_detect"] + f" WHERE c.time <= (SELECT max(time) FROM bars) - {LATE}",
+)
+def t3b(spark, sf_dir):
+    """Cooldown over bars that arrive out of order."""
+    bars, lay = B.bars_event(spark, sf_dir)
+    cand = compute(bars, [X.price_return(3)], **lay).select(
+        "symbol", "time", F.coalesce(F.col("price_return_L3") < -0.2, F.lit(False)).alias("candidate"))
+    with T.timer_state(spark):
+        return T.run_to_table(T.stream_detect(_shuffled(cand, 4), 5, delay=f"{LATE} seconds"))
+
+
+@query(
+    "t4_stream_labels_late",
+    f"""WITH {EVENT},\n{_lt}, p AS (SELECT max(time) - {LATE} AS passed FROM bars),
+seen AS (SELECT symbol, count(*) AS n FROM bars, p WHERE time <= passed GROUP BY symbol)
+SELECT symbol, time, {r6('top_score')} AS top_score, {r6('bottom_score')} AS bottom_score FROM {_ll} JOIN seen USING (symbol) WHERE bar + {LOOSE.horizon} < n""",
+)
+def t4c(spark, sf_dir):
+    """A label leaves once its horizon has passed the watermark."""
+    bars, _ = B.bars_event(spark, sf_dir)
+    with T.timer_state(spark):
+        out = T.run_to_table(T.stream_labels(_shuffled(bars, 4), LOOSE, delay=f"{LATE} seconds"))
+    return rounded(out, "top_score", "bottom_score")

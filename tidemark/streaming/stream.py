@@ -5,6 +5,11 @@ of a symbol are put in time order, so a micro-batch should hold a bounded stretc
 file limit of the source). A bar that isn't newer than the last one of an earlier micro-batch comes too late for
 recursions that have passed it: it is left out and gives no row. With `idle_ms` the state of a symbol without bars for
 so long is freed, and the symbol begins anew.
+
+With a `delay` bars wait in state until the watermark, the newest bar of all symbols less the delay, has passed them.
+Bars that arrive in any order within the delay then give what the batch form gives, the bars of the last `delay` are
+still waiting when a stream is stopped, and `idle_ms` counts bar time. This needs the RocksDB state store, see
+`timer_state`.
 """
 
 from __future__ import annotations
@@ -12,12 +17,16 @@ from __future__ import annotations
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 from tidemark.operators import features as X
 from tidemark.operators.labels import OracleConfig
@@ -51,12 +60,35 @@ def stream_bars(
     return agg.select("symbol", F.unix_seconds("window.start").alias("time"), "open", "high", "low", "close", "volume")
 
 
+#: Watermarks begin at 1970 and pandas times end in 2262, so event times are moved on by a century: bars of 1870 to 2162
+#: can wait.
+SHIFT = 3_155_760_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timer_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which list state and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _stateful(
     sdf: DataFrame, out: str, state_ddl: str, step: Callable[[dict, pd.DataFrame], pd.DataFrame], fresh: Callable[[], dict],
-    idle_ms: int | None = None,
+    idle_ms: int | None = None, delay: str | None = None,
 ) -> DataFrame:
     """Run `step(state, newer bars in time order)` per symbol; the state dict is kept as columns of `state_ddl`."""
     names = [f.split()[0] for f in state_ddl.split(", ")]
+    kept_ddl = f"{state_ddl}, last_time long"
+    if delay is not None:
+        timed = sdf.withColumn("_ts", F.timestamp_seconds(F.col("time") + F.lit(SHIFT))).withWatermark("_ts", delay)
+        bars = Waiting(sdf.schema, kept_ddl, names, step, fresh, idle_ms)
+        return timed.groupBy("symbol").transformWithStateInPandas(bars, out, "Append", "EventTime")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -77,10 +109,67 @@ def _stateful(
             state.setTimeoutDuration(idle_ms)
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return sdf.groupBy("symbol").applyInPandasWithState(run, out, f"{state_ddl}, last_time long", "append", timeout)
+    return sdf.groupBy("symbol").applyInPandasWithState(run, out, kept_ddl, "append", timeout)
+
+
+class Waiting(StatefulProcessor):
+    """Bars of a symbol wait as a list until the watermark has passed them, then go through `step` in time order.
+
+    A timer stands at the earliest bar that waits, and one at the time at which the symbol counts as idle. Of bars with
+    the same time the one that came first counts.
+    """
+
+    def __init__(self, schema: StructType, kept_ddl: str, names: list[str], step: Callable, fresh: Callable, idle_ms: int | None):
+        self.schema, self.kept_ddl, self.names = schema, kept_ddl, names
+        self.step, self.fresh, self.idle_ms = step, fresh, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.kept = handle.getValueState("kept", self.kept_ddl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = self.kept.get()[-1] if self.kept.exists() else None
+        pdf = pd.concat(list(rows))[self.schema.names]
+        pdf = pdf if last is None else pdf[pdf["time"] > last]
+        if len(pdf):
+            self.waiting.appendList([tuple(r) for r in pdf.astype(object).itertuples(index=False)])
+            self._wake_at(int(pdf["time"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() - SHIFT * 1000
+        at = self.schema.names.index("time")
+        rows = sorted(self.waiting.get(), key=lambda r: r[at]) if self.waiting.exists() else []
+        ready = [r for r in rows if r[at] * 1000 <= passed]
+        if ready:
+            later = rows[len(ready) :]
+            if later:
+                self.waiting.put([tuple(r) for r in later])
+                self._wake_at(int(later[0][at]))
+            else:
+                self.waiting.clear()
+            held = dict(zip(self.names, self.kept.get())) if self.kept.exists() else self.fresh()
+            pdf = pd.DataFrame([tuple(r) for r in ready], columns=self.schema.names).drop_duplicates("time")
+            made = self.step(held, pdf)
+            last = int(pdf["time"].iloc[-1])
+            self.kept.update((*(held[n] for n in self.names), last))
+            if self.idle_ms is not None:
+                self.handle.registerTimer((last + SHIFT) * 1000 + self.idle_ms)
+            if len(made):
+                yield made
+        elif self.idle_ms is not None and not rows and self.kept.exists() and self.kept.get()[-1] * 1000 + self.idle_ms <= passed:
+            self.kept.clear()
+
+    def _wake_at(self, time: int) -> None:
+        # a timer fires once the watermark is beyond it
+        self.handle.registerTimer((time + SHIFT) * 1000 - 1)
+
+    def close(self) -> None:
+        pass
 
 
-def stream_features(sdf: DataFrame, atr_len: int = 14, cap: int = 5, idle_ms: int | None = None) -> DataFrame:
+def stream_features(sdf: DataFrame, atr_len: int = 14, cap: int = 5, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """(symbol, time, atr, gjr_asym, up_streak_norm) from one pass over arriving bars."""
     win, beta = X.LONG_RUN_WINDOW, X.GJR_BETA
     omega_k = 1.0 - X.GJR_ALPHA - beta - X.GJR_GAMMA / 2.0
@@ -120,11 +209,11 @@ def stream_features(sdf: DataFrame, atr_len: int = 14, cap: int = 5, idle_ms: in
     state = "n long, pc double, plr double, pr2 double, g double, s double, atr double, streak long, r2 array<double>"
     return _stateful(
         sdf.select("symbol", "time", "high", "low", "close"),
-        "symbol string, time long, atr double, gjr_asym double, up_streak_norm double", state, step, fresh, idle_ms,
+        "symbol string, time long, atr double, gjr_asym double, up_streak_norm double", state, step, fresh, idle_ms, delay,
     )
 
 
-def stream_detect(sdf: DataFrame, cooldown: int, idle_ms: int | None = None) -> DataFrame:
+def stream_detect(sdf: DataFrame, cooldown: int, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """(symbol, time, fired, signal) from arriving (symbol, time, candidate): cooldown and rising edge."""
 
     def fresh() -> dict:
@@ -141,11 +230,11 @@ def stream_detect(sdf: DataFrame, cooldown: int, idle_ms: int | None = None) ->
 
     return _stateful(
         sdf.select("symbol", "time", "candidate"), "symbol string, time long, fired boolean, signal boolean",
-        "since long, last boolean", step, fresh, idle_ms,
+        "since long, last boolean", step, fresh, idle_ms, delay,
     )
 
 
-def stream_labels(sdf: DataFrame, cfg: OracleConfig, idle_ms: int | None = None) -> DataFrame:
+def stream_labels(sdf: DataFrame, cfg: OracleConfig, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """(symbol, time, top_score, bottom_score): a bar's label leaves once `horizon` later bars have arrived."""
     h, nest, weights = cfg.horizon, cfg.scale_nest, cfg.weights()
     reach = nest[-1]
@@ -184,5 +273,5 @@ def stream_labels(sdf: DataFrame, cfg: OracleConfig, idle_ms: int | None = None)
 
     return _stateful(
         sdf.select("symbol", "time", "high", "low"), "symbol string, time long, top_score double, bottom_score double",
-        "t array<long>, hi array<double>, lo array<double>, done long", step, fresh, idle_ms,
+        "t array<long>, hi array<double>, lo array<double>, done long", step, fresh, idle_ms, delay,
     )
