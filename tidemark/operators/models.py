@@ -12,8 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.layout import Calc, Frames, compute
 from tidemark.operators.ranking import average_precision, with_group_rank
+from tidemark.operators.sequences import sequence_windows  # noqa: F401  (part of this module's interface)
 from tidemark.operators.splits import per_symbol_join
 from tidemark.session import materialise
 
@@ -169,23 +169,6 @@ def standardise(df: DataFrame, cols: Sequence[str], train: Column) -> DataFrame:
     return df.withColumns({c: z(c) for c in cols})
 
 
-def sequence_windows(df: DataFrame, cols: Sequence[str], window: int, allowed: Column | None = None, **layout) -> DataFrame:
-    """`seq`: the last `window` feature rows as array<array<float>>, for end rows with a full window.
-
-    Windows never cross a series; `allowed` restricts the end rows.
-    """
-    if window < 1:
-        raise ValueError("window must be >= 1")
-    vec = F.array(*[F.col(c).cast("float") for c in cols])
-
-    def spec(fr: Frames) -> Calc:
-        seq = F.collect_list("_vec").over(fr.w(-(window - 1)))
-        return Calc([{"_vec": vec}, {"_seq": seq}], {"seq": F.col("_seq")}, lookback=window)
-
-    out = compute(df, [spec], **layout).filter(F.size("seq") == window)
-    return out if allowed is None else out.filter(allowed)
-
-
 # --------------------------------------------------------------------------- calibration, students
 
 

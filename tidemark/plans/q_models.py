@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tidemark.operators import forest as T
 from tidemark.operators import models as M
 from tidemark.operators import pool as P
 from tidemark.operators import rules as RU
+from tidemark.operators import sequences as SQ
 from tidemark.operators import splits as V
 from tidemark.operators.bank import FeatureConfig, feature_names
 from tidemark.plans import base as B
@@ -235,6 +237,29 @@ def m4(spark, sf_dir):
     return rounded(out, "first_value", "last_value", digits=4)
 
 
+@query(
+    "m4_sequence_blocks",
+    f"""WITH {POOL_SQL}, n AS (SELECT symbol, time, er_dir_p10, row_number() OVER (PARTITION BY symbol ORDER BY time) AS rn,
+      avg(CAST(er_dir_p20 AS FLOAT)) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS m FROM pool)
+SELECT symbol, count(*) AS n_windows, min(time) AS first_end, max(time) AS last_end, {r6('avg(m)', 4)} AS mean_value FROM n WHERE rn >= 16 GROUP BY symbol""",
+)
+def m4b(spark, sf_dir):
+    """The same windows as views of one matrix per chunk; the mean of every window's second column, by symbol."""
+    df = pool(spark, sf_dir).select("symbol", "time", "er_dir_p10", "er_dir_p20")
+    blocks = SQ.sequence_blocks(df, ["er_dir_p10", "er_dir_p20"], 16, chunk_rows=64)
+
+    def means(batches):
+        for batch in batches:
+            rows = [(b["symbol"], t, float(w[:, 1].mean(dtype=float))) for b in batch.to_pylist()
+                    for w, t in zip(SQ.block_windows(b["data"], b["n_cols"], 16, b["ends"]), b["end_times"], strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["symbol", "time", "m"])
+
+    found = blocks.mapInArrow(means, "symbol string, time long, m double").groupBy("symbol")
+    out = found.agg(F.count("time").alias("n_windows"), F.min("time").alias("first_end"), F.max("time").alias("last_end"), F.avg("m").alias("mean_value"))
+    return rounded(out, "mean_value", digits=4)
+
+
 def _targets(spark, sf_dir):
     return C.with_targets(pool(spark, sf_dir), "bottom")
 
