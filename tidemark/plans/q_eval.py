@@ -86,6 +86,32 @@ def e2b(spark, sf_dir):
     return EV.match_pairs(_events(spark, sf_dir), TOL).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+def least_distance_sql(src: str, tol: int = TOL) -> str:
+    """CTEs ending in `least`(symbol, n_pairs, distance): best values over the truths, carried on by each prediction."""
+    card = 1_000_000
+    return f"""lists AS (
+  SELECT symbol, coalesce(list(bar ORDER BY bar) FILTER (WHERE is_pred), []) AS p,
+         coalesce(list(bar ORDER BY bar) FILTER (WHERE is_true), []) AS t FROM {src} WHERE is_pred OR is_true GROUP BY symbol),
+walk AS (
+  SELECT symbol, p, t, 0 AS i, list_transform(range(len(t) + 1), lambda x: CAST(0 AS BIGINT)) AS v FROM lists
+  UNION ALL
+  SELECT symbol, p, t, i, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k])) FROM (
+    SELECT symbol, p, t, i + 1 AS i, list_transform(range(1, len(t) + 2), lambda j:
+      CASE WHEN j > 1 AND abs(p[i + 1] - t[j - 1]) <= {tol} THEN greatest(v[j], v[j - 1] + {card} - abs(p[i + 1] - t[j - 1])) ELSE v[j] END) AS c
+    FROM walk WHERE i < len(p))),
+least AS (SELECT symbol, CAST(ceil(v[len(t) + 1] / {card}) AS BIGINT) AS n_pairs, v[len(t) + 1] AS total FROM walk WHERE i = len(p))"""
+
+
+@query(
+    "e2_least_distance",
+    f"WITH RECURSIVE {SCORED},\n{least_distance_sql('scored')} SELECT symbol, n_pairs, CAST(n_pairs * 1000000 - total AS BIGINT) AS distance FROM least WHERE n_pairs > 0",
+)
+def e2c(spark, sf_dir):
+    """Pairs and their total distance per series; which pairs reach it is not unique."""
+    found = EV.match_pairs(_events(spark, sf_dir), TOL).groupBy("symbol")
+    return found.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("delta").alias("distance"))
+
+
 _POOL = "SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM counts"
 
 

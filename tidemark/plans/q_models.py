@@ -354,11 +354,21 @@ def m1(spark, sf_dir):
     return T.out_of_fold(data, _folds(data), FULL_COLS, _sided(), TEACHER)
 
 
-@query("m5_isotonic_calibration")
+@query(
+    "m5_isotonic_calibration",
+    f"""WITH d AS (SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT n_chars, sum(quality) AS y, count(*) AS w FROM d GROUP BY n_chars),
+c AS (SELECT n_chars, row_number() OVER o AS i, sum(y) OVER o AS ys, sum(w) OVER o AS ws, sum(y) OVER o - y AS y0, sum(w) OVER o - w AS w0 FROM s WINDOW o AS (ORDER BY n_chars)),
+m AS (SELECT j.i AS j, k.i AS i, min(CAST(k.ys - j.y0 AS DOUBLE) / (k.ws - j.w0)) OVER (PARTITION BY j.i ORDER BY k.i DESC) AS least
+  FROM c j JOIN c k ON k.i >= j.i),
+g AS (SELECT i, max(least) AS calibrated FROM m GROUP BY i)
+SELECT doc_id, n_chars, {r6('calibrated')} AS calibrated FROM d JOIN c USING (n_chars) JOIN g USING (i)""",
+)
 def m5(spark, sf_dir):
+    """Isotonic values; in SQL the greatest over starts of the least mean over ends."""
     df = B.table(spark, sf_dir, "documents").join(B.table(spark, sf_dir, "labels"), "doc_id")
     model = M.fit_isotonic(df, "n_chars", "quality")
-    return M.apply_isotonic(df, model, "n_chars").select("doc_id", "n_chars", "calibrated")
+    return rounded(M.apply_isotonic(df, model, "n_chars").select("doc_id", "n_chars", "calibrated"), "calibrated")
 
 
 @query("m6_tree_student")
