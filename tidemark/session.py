@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", app: str = "tidemark") -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own."""
+    """A local session for tests and the bench; clusters bring their own.
+
+    The JVM does not compile methods above 8000 bytes, and whole-stage code over wide rows makes such methods: plans
+    of more than 40 columns go through separate projections, whose code is split. Other plans keep whole-stage code.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus if cpus != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.maxFields", "40")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
