@@ -217,3 +217,18 @@ def test_negatives_are_those_with_the_smallest_hashes(spark, monkeypatch, ratio,
         want += yes + (no[: ratio * len(yes)] if yes else no)
     assert sorted(map(tuple, M.subsample_negatives(df, "y", ratio, by=by).collect())) == sorted(want)
     assert M.subsample_negatives(df.limit(0), "y", ratio, by=by).count() == 0
+
+
+def test_rows_lie_in_blocks_and_old_margins_go(spark):
+    """A pass moves blocks, not rows, and of the tables that a fit writes only the last stays."""
+    import pathlib
+
+    from tidemark.session import scratch_folder
+
+    df, rows = frame(spark, seed=5)
+    folder = pathlib.Path(scratch_folder(spark))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found = T.grow(rows, ["id"], list("abcd"), [T.Target("m", F.col("y"), F.col("w"))], T.Growth(rounds=9, leaves=4, min_rows=9, bins=8))
+    assert found.data.count() <= 3 and len(found.trees[0]) == 9
+    assert len(set(folder.iterdir()) - before) == 1
+    assert sorted(r.id for r in T.margins(found).collect()) == df.id.tolist()
