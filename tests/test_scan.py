@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from data import pooled
 from pyspark.sql import functions as F
@@ -50,3 +51,21 @@ def test_scan_refuses_and_keeps_columns(spark):
     assert scan.max_affine_scan(df.limit(0), F.lit(1), F.lit(1), None, "n").count() == 0
     with pytest.raises(Exception, match="must not be negative"):
         scan.max_affine_scan(df, F.lit(-0.5), F.lit(1), None, "n").collect()
+
+
+def test_chunks_go_side_by_side_and_batches_cut_them():
+    """The maps of chunks of uneven length, stepped through together, are those composed one by one."""
+    rng = np.random.default_rng(0)
+    sizes = [3, 1, 40, 7, 7, 90]
+    chunk = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(chunk)
+    a, b, c = rng.choice([0.0, 0.5, 1.2], n), rng.normal(size=n), np.where(rng.random(n) < 0.3, rng.normal(size=n), -np.inf)
+    rows = pa.table({"symbol": [None if k == 0 else "AB"[k % 2] for k in chunk], "_ck": chunk, "_a": a, "_b": b, "_c": c})
+    for step in (5, 64, 1000):
+        got = pa.Table.from_batches(list(scan._by_chunk(scan._composed)(iter(rows.to_batches(max_chunksize=step))))).to_pylist()
+        assert [r["_ck"] for r in got] == list(range(len(sizes)))
+        for k, r in enumerate(got):
+            total = scan.IDENTITY
+            for m in zip(a[chunk == k], b[chunk == k], c[chunk == k], strict=True):
+                total = scan.compose(total, m)
+            assert np.allclose((r["_a"], r["_b"], r["_c"]), total)

@@ -1,12 +1,15 @@
 """Exact scans of x -> max(a * x + b, c) along series of any length.
 
 Such maps compose to such maps while a >= 0. A chunk of a series is composed to one map, the few maps of a series are
-followed in order to get each chunk's first value, and each chunk is replayed from its own, in tasks of a chunk each.
+followed in order to get each chunk's first value, and each chunk is replayed from its own. Rows are dealt out by chunk and
+sorted; a task steps through all chunks of a batch at the same time, the k-th rows of all of them in one NumPy operation.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,59 @@ def apply(m: Map, x: float) -> float:
     return max(m[0] * x + m[1], m[2])
 
 
-def _maps(rows: pa.Table) -> list[Map]:
-    """Maps of rows in order of `bar`."""
-    rows = rows.sort_by("_bar")
-    return list(zip(*(rows[k].to_pylist() for k in ("_a", "_b", "_c")), strict=True))
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Rows that begin a chunk, in rows sorted by symbol and chunk."""
+    out = np.ones(rows.num_rows, bool)
+    ids = rows["symbol"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    ck = rows["_ck"].to_numpy()
+    out[1:] = (ids[1:] != ids[:-1]) | (ck[1:] != ck[:-1])
+    return np.flatnonzero(out)
+
+
+def _by_chunk(made: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`made` from whole chunks of sorted rows and the places where they begin; a chunk that a batch cuts waits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held or (batch is not None and not batch.num_rows):
+                continue
+            rows = pa.Table.from_batches(held)
+            begin = _begins(rows)
+            whole = rows.num_rows if batch is None else int(begin[-1])
+            if whole:
+                yield from made(rows.slice(0, whole), begin[begin < whole]).combine_chunks().to_batches()
+            held = rows.slice(whole).to_batches()
+
+    return run
+
+
+def _turns(begin: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each step k, the chunks of more than k rows, longest first, and their k-th rows."""
+    size = np.diff(np.append(begin, n))
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+    for k, m in enumerate(live):
+        yield order[:m], begin[order[:m]] + k
+
+
+def _arrays(rows: pa.Table) -> list[np.ndarray]:
+    return [rows[k].to_numpy() for k in ("_a", "_b", "_c")]
+
+
+def _composed(rows: pa.Table, begin: np.ndarray) -> pa.Table:
+    """The map of each chunk."""
+    a, b, c = _arrays(rows)
+    ta, tb, tc = (np.full(len(begin), v) for v in IDENTITY)
+    with np.errstate(invalid="ignore"):
+        for at, row in _turns(begin, rows.num_rows):
+            low = np.where(a[row] == 0, b[row], a[row] * tc[at] + b[row])
+            tc[at] = np.where(c[row] > low, c[row], low)
+            ta[at], tb[at] = a[row] * ta[at], a[row] * tb[at] + b[row]
+    first = rows.select(["symbol", "_ck"]).take(pa.array(begin))
+    return first.append_column("_a", pa.array(ta)).append_column("_b", pa.array(tb)).append_column("_c", pa.array(tc))
 
 
 def max_affine_scan(
@@ -57,31 +109,29 @@ def max_affine_scan(
         })
     )
 
-    def whole(key: tuple, rows: pa.Table) -> pa.Table:
-        total = IDENTITY
-        for m in _maps(rows):
-            total = compose(total, m)
-        return pa.table({"symbol": pa.array([key[0].as_py()], pa.string()), "_ck": pa.array([key[1].as_py()], pa.int64()), **{k: pa.array([v]) for k, v in zip(("_a", "_b", "_c"), total, strict=True)}})
-
     def follow(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.rename_columns(["symbol", "_bar", "_a", "_b", "_c"]).sort_by("_bar")
+        rows = rows.rename_columns(["symbol", "_ck", "_a", "_b", "_c"]).sort_by("_ck")
         x, at = start, []
-        for m in _maps(rows):
+        for m in zip(*(v.tolist() for v in _arrays(rows)), strict=True):
             at.append(x)
             x = apply(m, x)
-        return pa.table({"symbol": rows["symbol"], "_ck": rows["_bar"], "_x": pa.array(at, pa.float64())})
+        return pa.table({"symbol": rows["symbol"], "_ck": rows["_ck"], "_x": pa.array(at, pa.float64())})
 
-    chunks = rows.select("symbol", "_ck", "_bar", "_a", "_b", "_c").groupBy("symbol", "_ck").applyInArrow(whole, "symbol string, _ck long, _a double, _b double, _c double")
+    dealt = ["symbol", "_ck"]
+    steps = rows.select(*dealt, "_bar", "_a", "_b", "_c").repartition(*dealt).sortWithinPartitions(*dealt, "_bar").drop("_bar")
+    chunks = steps.mapInArrow(_by_chunk(_composed), rows.select(*dealt, "_a", "_b", "_c").schema)
     # a row a chunk
     starts = materialise(chunks.groupBy("symbol").applyInArrow(follow, "symbol string, _ck long, _x double"))
 
-    def replay(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_bar")
-        x, out = rows["_x"][0].as_py(), np.empty(rows.num_rows)
-        for i, m in enumerate(_maps(rows)):
-            x = out[i] = max(m[0] * x + m[1], m[2])
+    def replay(rows: pa.Table, begin: np.ndarray) -> pa.Table:
+        (a, b, c), x = _arrays(rows), rows["_x"].to_numpy()[begin]
+        out = np.empty(rows.num_rows)
+        for at, row in _turns(begin, rows.num_rows):
+            y = a[row] * x[at] + b[row]
+            out[row] = x[at] = np.where(c[row] > y, c[row], y)
         return rows.drop_columns(["_a", "_b", "_c", "_bar", "_ck", "_x"]).append_column(name, pa.array(out))
 
     kept = indexed.columns
     schema = indexed.select(*kept, F.lit(0.0).alias(name)).schema
-    return rows.join(starts, ["symbol", "_ck"]).select(*kept, "_a", "_b", "_c", "_bar", "_ck", "_x").groupBy("symbol", "_ck").applyInArrow(replay, schema)
+    found = rows.join(starts, dealt).select(*kept, "_a", "_b", "_c", "_bar", "_ck", "_x")
+    return found.repartition(*dealt).sortWithinPartitions(*dealt, "_bar").mapInArrow(_by_chunk(replay), schema)
