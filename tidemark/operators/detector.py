@@ -384,8 +384,9 @@ def side_frame(bars: DataFrame, p: SidePreset, inputs: DataFrame | None = None,
     """
     agree = F.col("agree_high" if p.high else "agree_low")
     df = windowed_inputs(bars, p, **layout) if inputs is None else inputs
-    df = duration_at_extreme(df, agree > p.dur_pct, **layout)
+    # the drift's union first: the windows after it stay on its partitions
     df = with_drift(df, p.drift_lb, **layout)
+    df = duration_at_extreme(df, agree > p.dur_pct, **layout)
     votes = vote_states(p)
     df = df.withColumns(votes)
     if p.use_edge:
@@ -430,13 +431,15 @@ def detect_side(bars: DataFrame, p: SidePreset, **layout) -> DataFrame:
     """side_frame plus `fired` and `signal` (rising edge) and bars since the last fire."""
     df = side_frame(bars, p, **layout)
     fired = fire_with_cooldown(df.filter("candidate").select("symbol", "bar"), p.cooldown)
-    edges = rising(fired).withColumn("signal", F.lit(True))
-    marks = fired.withColumn("fired", F.lit(True)).join(edges, ["symbol", "bar"], "left")
-    out = df.join(marks, ["symbol", "bar"], "left").fillna(False, subset=["fired", "signal"])
+    edges = rising(fired).withColumn("_edge", F.lit(True))
+    marks = fired.join(edges, ["symbol", "bar"], "left").select("symbol", F.col("bar").alias("time"), F.col("bar").alias("_last"), F.coalesce("_edge", F.lit(False)).alias("_edge"))
     kw = {k: layout[k] for k in ("max_bars", "chunk_rows") if k in layout}
-    out = running_carry(out, lasts={"_last": F.when(F.col("fired"), F.col("bar"))}, **kw)
+    # every bar meets the latest fire up to it in one pass: that of its own bar says whether it fired
+    left = df.withColumnRenamed("time", "_time").withColumn("time", F.col("bar"))
+    out = asof_backward(left, marks, ["_last", "_edge"], strict=False, bar_seconds=1, **kw).drop("time").withColumnRenamed("_time", "time")
+    now = F.coalesce(F.col("_last") == F.col("bar"), F.lit(False))
     since = F.coalesce(F.col("bar") - F.col("_last"), F.col("bar") + F.lit(1000))
-    return out.withColumn("bars_since_fire", since).drop("_last")
+    return out.withColumns({"fired": now, "signal": now & F.coalesce("_edge", F.lit(False)), "bars_since_fire": since}).drop("_last", "_edge")
 
 
 def fires(bars: DataFrame, p: SidePreset, inputs: DataFrame | None = None, **layout) -> DataFrame:
