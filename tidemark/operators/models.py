@@ -237,6 +237,7 @@ def subsample_negatives(df: DataFrame, y: str, ratio: int = NEG_PER_POS, seed: i
     Negatives are chosen by the order of a hash of (symbol, bar, seed): the same rows whatever the partitioning.
     """
     keys = list(by)
+    df = materialise(df)  # read for the sums, the counts by prefix, the rows and the last prefix; what makes it runs once
     want = F.lit(ratio) * F.col("_np")
     pos = df.groupBy(*keys).agg(F.sum(y).cast("long").alias("_np"), (F.max("bar") + 1).alias("_bars"))
     draw = F.md5(F.concat_ws("|", "symbol", F.col("bar").cast("string"), F.lit(str(seed))))
