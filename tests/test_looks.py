@@ -1,12 +1,14 @@
 """Looks against Window functions, in batches far smaller than a series, and plans that carry rows once."""
 
 import data
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.looks import Look, with_looks
-from tidemark.layout import DAY
+from tidemark.layout import DAY, compute
 from tidemark.operators import events as EV
+from tidemark.operators import features as X
 from tidemark.operators.bank import FeatureConfig, build_features
 
 LOOKS = {
@@ -49,3 +51,29 @@ def test_segments_are_dealt_out(spark):
     rows = [(f"s{i}", b, b % 3 == 0, b % 4 == 0) for i in range(64) for b in range(40) if b % 3 == 0 or b % 4 == 0]
     events = spark.createDataFrame(rows, "symbol string, bar long, is_pred boolean, is_true boolean")
     assert EV.match_pairs(events, 3).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_agreement_takes_one_pass(spark):
+    """Positions of all scales come from one pass, cut anywhere; undefined and non-positive averages count as ratio 1."""
+    rows = [(s, t * DAY, None if t % 17 == 0 and s == "a" else float((t * 37) % 23 - 4)) for s, n in (("a", 90), ("b", 70), (None, 9)) for t in range(1, n)]
+    bars = spark.createDataFrame(rows, "symbol string, time long, close double")
+    spec = X.agreement(3, 40, 9, 0.7, counts=True)
+    got = compute(bars, [spec, X.pir_for_scale(7, 20)], max_bars=100)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = []
+    for s in ("a", "b", None):
+        x = pd.Series([r[2] for r in rows if r[0] == s], dtype=float)
+        pos = {}
+        for n in (*range(3, 41, 9), 7):
+            avg = x.rolling(n).mean().round(9)
+            ratio = pd.concat([pd.Series([1.0] * 50), (x / avg).where(avg > 0, 1.0)], ignore_index=True)
+            lo, hi = ratio.rolling(max(n, 20)).min(), ratio.rolling(max(n, 20)).max()
+            pos[n] = ((ratio - lo) / (hi - lo)).where(hi != lo, 0.5)[50:].round(6).tolist()
+        t = [r[1] for r in rows if r[0] == s]
+        for i in range(len(x)):
+            scales = [pos[n][i] for n in range(3, 41, 9)]
+            want.append((s, t[i], sum(p > 0.7 for p in scales), sum(p < 1.0 - 0.7 for p in scales), pos[7][i]))
+    cols = ["symbol", "time", "agree_n_high", "agree_n_low", F.round("pir_s7", 6)]
+    assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(want, key=repr)
+    cut = compute(bars, [spec, X.pir_for_scale(7, 20)], chunk_rows=16)
+    assert sorted(map(tuple, cut.select(*cols).collect())) == sorted(w for w in want if w[0])
