@@ -208,7 +208,7 @@ def _merged(na: int, nb: int, ma, mb, qa, qb) -> tuple[np.ndarray, np.ndarray]:
     return ma + d * (nb / tot), qa + qb + d * d * (na * nb / tot)
 
 
-def _changes(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
+def series_begin(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """Whether a row begins a series."""
     out = np.zeros(rows.num_rows, bool)
     out[:1] = True
@@ -241,7 +241,7 @@ def with_looks(df: DataFrame, keys: Sequence[str], looks: dict[str, Look]) -> Da
             if rows is None:
                 return
             n = rows.num_rows
-            begin = np.flatnonzero(_changes(rows, keys))
+            begin = np.flatnonzero(series_begin(rows, keys))
             until = n if batch is None else max(sent, int(begin[-1]), n - ahead)
             if until > sent:
                 at = np.arange(n)

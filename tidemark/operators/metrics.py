@@ -106,15 +106,17 @@ def tune_threshold(
     rows = materialise(given)
     probs = [i / (grid - 1) for i in range(grid)] if grid > 1 else [0.0]
     cand = quantiles(rows, keys, "_s", probs).select(*keys, F.col("value").alias("thr"))
-    top = rows.groupBy(*keys).agg(F.max("_s").alias("_m")).select(*keys, _just_below(F.col("_m")).alias("thr"))
-    cand = cand.unionByName(top).distinct()
+    groups = materialise(rows.groupBy(*keys).agg(F.sum(F.col("_y").cast("long")).alias("n_true"), F.max("_s").alias("_max")))
+    cand = cand.unionByName(groups.select(*keys, _just_below(F.col("_max")).alias("thr"))).distinct()
     # at most grid + 1 thresholds per group; written so that its size is known to the joins
     lists = materialise(cand.groupBy(*keys).agg(F.sort_array(F.collect_list("thr"), False).alias("_thrs")))
-    # rows join at the first candidate they pass: _k = number of stricter candidates
-    failed = F.size(F.filter("_thrs", lambda t: F.col("_s") < t))
-    steps = rows.join(lists, keys).withColumns({"_k": failed, "_steps": F.size("_thrs")}).drop("_s", "_thrs")
-    steps = steps.withColumn("_k", F.when(F.col("_k") < F.col("_steps"), F.col("_k")))
-    steps = materialise(steps)
+    # rows join at the first candidate they pass: _k = number of stricter candidates, found by halving
+    steps = rows.join(lists, keys).withColumn("_k", F.lit(0))
+    for bit in reversed(range((len(probs) + 1).bit_length())):
+        stricter = F.get("_thrs", F.col("_k") + F.lit((1 << bit) - 1)) > F.col("_s")
+        steps = steps.withColumn("_k", F.col("_k") + F.when(stricter, F.lit(1 << bit)).otherwise(F.lit(0)))
+    steps = steps.withColumn("_steps", F.size("_thrs")).drop("_s", "_thrs")
+    steps = materialise(steps.withColumn("_k", F.when(F.col("_k") < F.col("_steps"), F.col("_k"))))
     per = steps.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("_y").cast("long")).alias("t"))
     per = per.join(match_gains(steps, tolerance, keys), [*keys, "_k"], "left")
     tallies = per.groupBy(*keys).agg(F.collect_list(F.struct("_k", "c", "gain")).alias("_cs"), F.sum("t").alias("n_true"))
@@ -132,9 +134,6 @@ def tune_threshold(
     # 2 tp + fp + fn = flagged rows + events
     scored = scored.withColumn("f1", 2 * F.col("tp") / (F.col("n_flagged") + F.col("n_true")))
     best = scored.groupBy(*keys).agg(F.max(F.struct("f1", F.col("thr").alias("threshold"))).alias("_b"))
-    groups = rows.groupBy(*keys).agg(
-        F.sum(F.col("_y").cast("long")).alias("n_true"), F.max("_s").alias("_max")
-    )
     out = groups.join(best, keys, "left")
     fallback = F.when(F.col("n_true") == 0, F.lit(0.5)).otherwise(F.col("_max"))
     return out.select(

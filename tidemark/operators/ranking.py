@@ -139,16 +139,36 @@ def rank_slice(
     return out if by else out.drop("_all")
 
 
+def _bucket(v: Column) -> Column:
+    """Whole number that never falls as the double v rises, about 700 to a doubling; null first, NaN last."""
+    size = F.floor(F.least(F.log1p(F.abs(v) * F.lit(2.0**30)), F.lit(1e6)) * F.lit(1024.0))
+    return F.when(v.isNull(), F.lit(-(1 << 40))).when(F.isnan(v), F.lit(1 << 40)).otherwise(F.signum(v).cast("long") * size)
+
+
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolation quantiles per group as rows (by, prob_index, value), from exact ranks.
 
-    Only the two neighbours of each quantile position are kept from the ranked table.
+    Values are counted by bucket, and only those in the buckets that hold the two neighbours of a quantile position are
+    ranked. `df` is read twice.
     """
     keys = list(by) or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(1))).select(*keys, F.col(col).cast("double").alias("_v"))
-    ranked = with_group_rank(rows, keys, [F.col("_v")], "_r")
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_b", _bucket(F.col("_v")))
+    counts = materialise(rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")))
+    # buckets, not rows: 1.5 million a group if every double occurs, some thousands as a rule
+    group = Window.partitionBy(*keys)
+    run = counts.withColumns({"_until": F.sum("_c").over(group.orderBy("_b")), "_n": F.sum("_c").over(group)})
+    ends = [fn(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs for fn in (F.floor, F.ceil)]
+    held = F.filter(F.array_distinct(F.array(*ends)), lambda r: (r >= F.col("_until") - F.col("_c")) & (r < F.col("_until")))
+    hits = run.withColumn("_rs", held).filter(F.size("_rs") > 0)
+    hits = materialise(hits.select(*keys, "_b", "_rs", "_n", (F.col("_until") - F.col("_c")).alias("_before")))
+    near = rows.join(hits.select(*keys, "_b"), [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    near = global_running(near, [*keys, "_b"], [F.col("_v")], {"_in": F.col("_c")}).join(hits, [*keys, "_b"])
+    near = near.withColumn("_until", F.col("_before") + F.col("_in"))
+    mine = F.filter("_rs", lambda r: (r >= F.col("_until") - F.col("_c")) & (r < F.col("_until")))
+    near = near.select(*keys, "_v", F.explode(mine).alias("_r"))
     lits = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    sizes = hits.groupBy(*keys).agg(F.max("_n").alias("_n"))
     wanted = sizes.withColumn("_q", F.explode(lits)).withColumn("_at", F.col("_q.p") * (F.col("_n") - 1))
     ends = wanted.select(
         *keys,
@@ -156,7 +176,7 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]
         "_at",
         F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_r"),
     )
-    near = ranked.select(*keys, "_r", "_v").join(ends, [*keys, "_r"])
+    near = near.join(ends, [*keys, "_r"])
     lo = F.min_by("_v", "_r")
     hi = F.max_by("_v", "_r")
     out = near.groupBy(*keys, "prob_index").agg((lo + (hi - lo) * (F.first("_at") - F.floor(F.first("_at")))).alias("value"))

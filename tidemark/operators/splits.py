@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.layout import CHUNK_ROWS, global_rank
+from tidemark.layout import CHUNK_ROWS, global_rank, global_running
+from tidemark.session import materialise
 
 
 class LeakageError(RuntimeError):
@@ -48,15 +51,48 @@ def with_block(df: DataFrame, n_folds: int, align_time: bool = False) -> DataFra
     return out
 
 
+def with_block_by_edges(df: DataFrame, n_folds: int) -> DataFrame:
+    """`block` as in `with_block`, without a sort of all rows; `df` is a stored table, read three times.
+
+    Rows are counted by time, and only times that hold the first row of a block are ranked by symbol. Each row is then
+    compared with these first rows. Rows of equal time and symbol lie by `bar`.
+    """
+    order = ["time", "symbol", "bar"]
+    counts = materialise(df.groupBy("time").agg(F.count(F.lit(1)).alias("_c")))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
+    validate(n, 0, 0, n_folds)
+    q, r = divmod(n, n_folds)
+    starts = [b * q + min(b, r) for b in range(1, n_folds)]
+    run = global_running(counts, [], [F.col("time")], {"_until": F.col("_c")})
+    held = " or ".join(f"(_until - _c <= {p} and {p} < _until)" for p in starts)
+    times = run.filter(held).select("time", "_c", "_until").orderBy("_until").collect()  # a row for each edge at most
+    kinds = dict(df.select(*order).dtypes)
+
+    def lit(col: str, value) -> Column:
+        return F.lit(value).cast(kinds[col])
+
+    here = df.filter(reduce(or_, [F.col("time").eqNullSafe(lit("time", t["time"])) for t in times])).select(*order)
+    wanted, before = [], 0
+    for t in times:
+        wanted += [before + p - (t["_until"] - t["_c"]) for p in starts if t["_until"] - t["_c"] <= p < t["_until"]]
+        before += t["_c"]
+    ranked = global_rank(here, [F.col(c) for c in order], "_at")
+    firsts = ranked.filter(F.col("_at").isin(wanted)).orderBy("_at").collect()
+    row = F.struct(*order)
+    late = [(row >= F.struct(*[lit(c, f[c]).alias(c) for c in order])).cast("int") for f in firsts]
+    return df.withColumn("block", sum(late[1:], late[0]))
+
+
 def per_symbol_join(rows: DataFrame, per_symbol: DataFrame, n_col: str, chunk_rows: int = CHUNK_ROWS, keys: Sequence[str] = ("symbol",), how: str = "left") -> DataFrame:
     """Join of bar rows with one row per symbol (or `keys`), keyed by (symbol, chunk of bars).
 
-    The small side is repeated once per chunk, so a symbol with a third of all rows is spread over many tasks.
+    The small side is repeated once per chunk, so a symbol with a third of all rows is spread over many tasks, and
+    hashed, so that no task sorts the rows.
     """
     last = F.floor((F.col(n_col) - F.lit(1)) / F.lit(chunk_rows))
     spread = per_symbol.withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(n_col)
     keyed = rows.withColumn("_ck", F.floor(F.col("bar") / F.lit(chunk_rows)))
-    return keyed.join(spread, [*keys, "_ck"], how).drop("_ck")
+    return keyed.join(spread.hint("shuffle_hash"), [*keys, "_ck"], how).drop("_ck")
 
 
 def bands(blocked: DataFrame, horizon: int, embargo: int) -> DataFrame:
@@ -76,8 +112,9 @@ def purged_folds(
     align_time: bool = False,
     keep_purged: bool = False,
     chunk_rows: int = CHUNK_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(symbol, bar, time, fold, role) with role train or test (and purged with `keep_purged`).
+    """(symbol, bar, time, fold, role, carry) with role train or test (and purged with `keep_purged`).
 
     `bar` must count the rows of each symbol densely. Train rows lie outside the test block and its purge band, on
     both sides of it; `mode="expanding"` keeps only rows of earlier blocks. With `pooled=False` the band is taken on
@@ -85,7 +122,8 @@ def purged_folds(
     """
     if mode not in ("all", "expanding"):
         raise ValueError(f"unknown mode {mode!r}")
-    blocked = with_block(df.select("symbol", "bar", "time"), n_folds, align_time)
+    given = df.select("symbol", "bar", "time", *carry)
+    blocked = with_block_by_edges(materialise(given), n_folds) if pooled and not align_time else with_block(given, n_folds, align_time)
     validate(n_folds, horizon, embargo, n_folds)
     if pooled:
         band = F.struct(F.col("block").alias("b"), "lo", "hi")
@@ -105,7 +143,7 @@ def purged_folds(
     out = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     usable = ~banned if mode == "all" else ~banned & (F.col("block") < F.col("fold"))
     role = F.when(F.col("block") == F.col("fold"), "test").when(usable, "train").otherwise("purged")
-    out = out.withColumn("role", role).select("symbol", "bar", "time", "fold", "role")
+    out = out.withColumn("role", role).select("symbol", "bar", "time", "fold", "role", *carry)
     return out if keep_purged else out.filter("role <> 'purged'")
 
 

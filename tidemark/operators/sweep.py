@@ -8,12 +8,15 @@ is the number of those that added one. A threshold sweep over falling scores nee
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain as joined_up
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions.looks import series_begin
 from tidemark.operators.events import SEGMENT_BARS, match_counts
 from tidemark.session import materialise
 
@@ -75,8 +78,8 @@ def gaining(truths: np.ndarray, bars: np.ndarray, tolerance: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, reach: int, keys: Sequence[str], size: int) -> DataFrame:
-    """Segments with truths: `_block` (first segment of those joined to it), its length, and whether each neighbour is
-    joined, that is, truths on both sides of the edge may compete for one prediction. One row per segment."""
+    """Segments joined to a neighbour, as truths on both sides of the edge may compete for one prediction: `_block` (first
+    of the segments joined), its length, and which neighbours. One row per such segment; other segments are blocks."""
     seg = F.floor(F.col("bar") / F.lit(size)).alias("_seg")
     found = rows.filter("_y").groupBy(*keys, seg).agg(F.min("bar").alias("_lo"), F.max("bar").alias("_hi"))
     w = Window.partitionBy(*keys).orderBy("_seg")
@@ -90,7 +93,8 @@ def _blocks(rows: DataFrame, reach: int, keys: Sequence[str], size: int) -> Data
         }
     )
     lengths = joined.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_length"))
-    return materialise(joined.join(lengths, [*keys, "_block"]).select(*keys, "_seg", "_block", "_before", "_after", "_length"))
+    joined = joined.filter("_before or _after").join(lengths, [*keys, "_block"])
+    return materialise(joined.select(*keys, "_seg", "_block", "_before", "_after", "_length"))
 
 
 def match_gains(
@@ -108,41 +112,67 @@ def match_gains(
         raise ValueError("tolerance must be >= 0")
     keys = [*by, "symbol"]
     size = max(segment_bars, 2 * tolerance + 1)
+    rows = rows.dropna(subset=keys)
     segments = _blocks(rows, tolerance, keys, size)
     seg, rest = F.floor(F.col("bar") / F.lit(size)), F.col("bar") % F.lit(size)
-    # a prediction near an edge also goes to the neighbour, unless both belong together
-    sides = F.array(
-        F.struct(seg.alias("seg"), F.lit(0).alias("side")),
-        F.when(F.col("_k").isNotNull() & (rest < tolerance), F.struct((seg - 1).alias("seg"), F.lit(1).alias("side"))),
-        F.when(F.col("_k").isNotNull() & (rest >= size - tolerance), F.struct((seg + 1).alias("seg"), F.lit(-1).alias("side"))),
-    )
-    copies = rows.filter(F.col("_y") | F.col("_k").isNotNull()).withColumn("_s", F.explode(F.array_compact(sides)))
-    copies = copies.withColumns({"_seg": F.col("_s.seg"), "_side": F.col("_s.side")}).drop("_s")
-    apart = (F.col("_side") == 0) | ((F.col("_side") == 1) & ~F.col("_after")) | ((F.col("_side") == -1) & ~F.col("_before"))
-    placed = copies.join(segments, [*keys, "_seg"]).filter(apart).withColumn("_y", F.col("_y") & (F.col("_side") == 0))
 
-    def listed(cond: Column, value: Column) -> Column:
-        return F.sort_array(F.collect_list(F.when(cond, value)))
+    def side(part: DataFrame, to: int) -> DataFrame:
+        """Rows for segment `seg - to`."""
+        return part.withColumns({"_seg": seg - to, "_side": F.lit(to), "_y": F.coalesce("_y", F.lit(False)) if to == 0 else F.lit(False)})
 
-    step = F.struct(F.col("_k").cast("int").alias("k"), F.col("bar").cast("long").alias("bar"))
-    short = placed.filter(F.col("_length") <= chain).groupBy(*keys, "_block").agg(
-        listed(F.col("_y"), F.col("bar").cast("long")).alias("_t"), listed(F.col("_k").isNotNull(), step).alias("_p")
-    )
-    lists = short.select(*by, "_t", F.col("_p.bar").alias("_p"), F.col("_p.k").alias("_ks"))
-    fields = [*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields), "_k int", "gain long"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for r in pdf.to_dict("records"):
-                on = gaining(np.asarray(r["_t"], np.int64), np.asarray(r["_p"], np.int64), tolerance)
-                k, n = np.unique(np.asarray(r["_ks"], np.int32)[on], return_counts=True)
-                parts.append(pd.DataFrame({**{c: [r[c]] * len(k) for c in by}, "_k": k, "gain": n}))
-            if parts:
-                yield pd.concat(parts)
-
-    gains = lists.mapInPandas(run, ", ".join(fields))
-    if not segments.filter(F.col("_length") > chain).isEmpty():
+    # a prediction near an edge also goes to the neighbour, unless both belong together
+    predicted = rows.filter(F.col("_k").isNotNull())
+    placed = side(rows.filter(F.col("_y") | F.col("_k").isNotNull()), 0)
+    if tolerance:
+        placed = placed.unionByName(side(predicted.filter(rest < tolerance), 1)).unionByName(side(predicted.filter(rest >= size - tolerance), -1))
+    blocks = {"_block": F.col("_seg"), "_length": F.lit(1).cast("long")}
+    if not segments.isEmpty():
+        apart = (F.col("_side") == 0) | ((F.col("_side") == 1) & ~F.coalesce("_after", F.lit(False))) | ((F.col("_side") == -1) & ~F.coalesce("_before", F.lit(False)))
+        placed = placed.join(segments.hint("shuffle_hash"), [*keys, "_seg"], "left").filter(apart)
+        blocks = {c: F.coalesce(c, own) for c, own in blocks.items()}
+    placed = placed.withColumns(blocks)
+
+    bounds = [*keys, "_block"]
+    short = placed.filter(F.col("_length") <= chain).select(*bounds, F.col("bar").cast("long"), F.col("_k").cast("int"), "_y")
+    short = short.repartition(*bounds).sortWithinPartitions(*bounds)
+    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField("_k", T.IntegerType()), T.StructField("gain", T.LongType())])
+
+    def matched(part: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bar, k = part["bar"].to_numpy(), part["_k"].fill_null(-1).to_numpy()
+        true = part["_y"].to_numpy()
+        at, ks, ns = [], [], []
+        for lo, hi in zip(begin, [*begin[1:], part.num_rows], strict=True):
+            t, on = np.sort(bar[lo:hi][true[lo:hi]]), k[lo:hi] >= 0
+            if not len(t) or not on.any():
+                continue
+            bars, steps = bar[lo:hi][on], k[lo:hi][on]
+            order = np.lexsort((bars, steps))
+            found, n = np.unique(steps[order][gaining(t, bars[order], tolerance)], return_counts=True)
+            at.append(np.full(len(found), lo))
+            ks.append(found)
+            ns.append(n)
+        if at:
+            cols = [part[c].take(pa.array(np.concatenate(at))).combine_chunks() for c in by]
+            cols += [pa.array(np.concatenate(ks), pa.int32()), pa.array(np.concatenate(ns), pa.int64())]
+            yield from pa.Table.from_arrays(cols, names=[*by, "_k", "gain"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in joined_up(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None or not held.num_rows:
+                continue
+            begin = np.flatnonzero(series_begin(held, bounds))
+            if batch is None:
+                yield from matched(held, begin)
+            elif len(begin) > 1:
+                yield from matched(held.slice(0, begin[-1]), begin[:-1])
+                held = held.slice(begin[-1])
+
+    gains = short.mapInArrow(run, schema)
+    if chain < 1 or not segments.filter(F.col("_length") > chain).isEmpty():
         dense = placed.filter(F.col("_length") > chain)
         start = F.when(F.col("_y"), F.lit(0)).otherwise(F.col("_k").cast("int"))
         steps = dense.filter("_steps > 0").withColumn("_i", F.explode(F.sequence(start, F.col("_steps").cast("int") - 1)))

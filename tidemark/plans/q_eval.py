@@ -448,10 +448,9 @@ sc AS (SELECT f.fold, x.symbol, x.bar, -x.price_return_L10 AS score, x.bottom_ti
 
 
 def fold_scores(spark, sf_dir):
-    df = scored(spark, sf_dir).filter("price_return_L10 is not null")
-    folds = V.purged_folds(_indexed(spark, sf_dir), H, E, K).filter("role = 'train'").select("fold", "symbol", "bar")
-    s = df.select("symbol", "bar", (-F.col("price_return_L10")).alias("score"), "is_true")
-    return folds.join(s, ["symbol", "bar"])
+    df = scored(spark, sf_dir).select("symbol", "bar", "time", (-F.col("price_return_L10")).alias("score"), "is_true")
+    folds = V.purged_folds(df, H, E, K, carry=("score", "is_true")).filter("role = 'train' and score is not null")
+    return folds.select("fold", "symbol", "bar", "score", "is_true")
 
 
 @query("e20_threshold_candidates", f"WITH {_TS}, q AS (SELECT fold, unnest(quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 1.0])) AS value, unnest(range(5)) AS prob_index FROM sc GROUP BY fold) SELECT fold, CAST(prob_index AS INTEGER) AS prob_index, {r6('value')} AS value FROM q")
