@@ -63,6 +63,19 @@ def test_blocks_by_edges_are_blocks_by_rank(spark):
     assert [r["block"] for r in V.with_block_by_edges(same, 5).orderBy("bar").collect()] == [b // 2 for b in range(10)]
 
 
+def test_leak_check_sorts_no_rows(spark):
+    rows = [("a", b, "test" if 40 <= b < 60 else "train", 0) for b in range(100)] + [("b", b, "train", 0) for b in range(50)]
+    folds = spark.createDataFrame(rows, "symbol string, bar long, role string, fold int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = V.leaks(folds, 5, 3)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in found.collect()] == [(0, 130, 8)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_quantiles_of_odd_values(spark):
     """Repeats, zeros of both signs, values that share a bucket, huge and tiny ones; undefined ones first and last."""
     rng = np.random.default_rng(1)
