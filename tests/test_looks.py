@@ -1,14 +1,16 @@
 """Looks against Window functions, in batches far smaller than a series, and plans that carry rows once."""
 
 import data
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.looks import Look, with_looks
+from tidemark.functions.looks import Look, each, half_up, with_looks
 from tidemark.layout import DAY, compute
 from tidemark.operators import events as EV
 from tidemark.operators import features as X
+from tidemark.operators import labels as L
 from tidemark.operators.bank import FeatureConfig, build_features
 
 LOOKS = {
@@ -77,3 +79,36 @@ def test_agreement_takes_one_pass(spark):
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(want, key=repr)
     cut = compute(bars, [spec, X.pir_for_scale(7, 20)], chunk_rows=16)
     assert sorted(map(tuple, cut.select(*cols).collect())) == sorted(w for w in want if w[0])
+
+
+def test_bank_is_one_pass(spark):
+    """All looks of the bank and of the labels lie in one pass, which hands out no halo copies and no temporaries."""
+    bars = spark.createDataFrame(data.pooled((40, 30)))
+    wide = build_features(bars, FeatureConfig(include_overextension=True), extra=L.label_specs(L.LOOSE), max_bars=2_000, bar_seconds=DAY)
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    laid = bars.select("symbol", "time", "close", F.lit(0).alias("chunk"), (F.col("time") % 2 == 0).alias("_core"), F.lit(1).alias("bar")).repartition(1).sortWithinPartitions("symbol", "time")
+    core = with_looks(laid, ["symbol"], {"a": Look("lag", "close", 1), "b": each(lambda x: x + 1, "a")}, ["b"], "_core")
+    assert core.columns == [*laid.columns, "b"] and core.count() == laid.filter("_core").count()
+
+
+def test_chained_looks_reach_through_batches(spark):
+    """A look of a look of a look reaches as far back and ahead as all of them together, in batches of three rows."""
+    rows = [(s, t, float((t * 37) % 23)) for s in ("a", "b") for t in range(1, 50)]
+    df = spark.createDataFrame(rows, "symbol string, time long, x double").repartition("symbol").sortWithinPartitions("symbol", "time")
+    looks = {"m": Look("max", "x", 5), "d": each(lambda x, m: x - m, "x", "m"), "l": Look("lag", "d", 4), "f": Look("lead", "l", 6)}
+    x = {s: pd.Series([r[2] for r in rows if r[0] == s]) for s in ("a", "b")}
+    want = [(s, t, None if np.isnan(v) else v) for s in x for t, v in enumerate((x[s] - x[s].rolling(5, min_periods=1).max()).shift(4).shift(-6), 1)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "3")
+        got = with_looks(df, ["symbol"], looks, ["f"])
+        assert sorted(map(tuple, got.select("symbol", "time", "f").collect())) == sorted(want)
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = [0.0078125, -0.0078125, 0.0000005, -0.0000005, 2.5e-7, 1.0000005, 123456.7890125, -0.0000004, 1e15 + 0.3, 3.3e20, 0.1 + 0.2, 1e-300, 5.0000015, float("inf")]
+    want = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 6) + F.lit(0.0)).collect()]
+    assert half_up(np.array(x), 6).tolist() == want
