@@ -232,3 +232,23 @@ def test_rows_lie_in_blocks_and_old_margins_go(spark):
     assert found.data.count() <= 3 and len(found.trees[0]) == 9
     assert len(set(folder.iterdir()) - before) == 1
     assert sorted(r.id for r in T.margins(found).collect()) == df.id.tolist()
+
+
+def test_what_models_share_is_held_once(spark):
+    """Labels, weights and training sets of many models lie once in small blocks; of siblings only the smaller is summed."""
+    df, rows = frame(spark, n=5000, seed=3, parts=1)
+    y, w, on = F.col("y"), F.col("w"), [F.col("part") != k for k in range(3)]
+    cfg = T.Growth(rounds=3, leaves=6, step=0.3, min_rows=9, bins=12)
+    edges = T.bin_edges(rows, list("abcd"), 12)
+    shared = T.grow(rows, ["id"], list("abcd"), [T.Target(f"f{k}", y, w, on[k]) for k in range(3)], cfg, edges)
+    apart = T.grow(rows, ["id"], list("abcd"), [T.Target(f"f{k}", F.col("y"), F.when(F.col("part") != k, F.col("w"))) for k in range(3)], cfg, edges)
+    assert all(T.node_rows(shared, f"f{k}") == T.node_rows(apart, f"f{k}") for k in range(3))
+    blocks = shared.data.select("bins", "y", "w", "on", "margin").collect()
+    assert len(blocks) >= 3 and all(len(b.y) * 4 == len(b.bins) and len(b.w) == 8 * len(b.y) and len(b.on) == 3 * len(b.y) and b.margin is None for b in blocks)
+    growing = T._Growing(cfg)
+    n = np.zeros((1, 12), np.int64)
+    n[0, [1, 5]] = 30, 10
+    g, h = n * int(T.EXACT), n * int(T.EXACT)
+    g[0, 5] *= -1
+    growing.summed({0: np.stack([g, h, n])}, np.array([0]), 1)
+    assert len(growing.open) == 1 and growing.to_sum() == growing.open  # the other has too few rows for a split
