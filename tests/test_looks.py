@@ -112,3 +112,20 @@ def test_rounding_is_that_of_spark(spark):
     x = [0.0078125, -0.0078125, 0.0000005, -0.0000005, 2.5e-7, 1.0000005, 123456.7890125, -0.0000004, 1e15 + 0.3, 3.3e20, 0.1 + 0.2, 1e-300, 5.0000015, float("inf")]
     want = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 6) + F.lit(0.0)).collect()]
     assert half_up(np.array(x), 6).tolist() == want
+
+
+def test_bars_are_counted_in_the_pass(spark):
+    """Positions and lengths of series that cross batches, with a null key; no Window is left in the plan."""
+    rows = [(s, t * DAY, float(t), 1.0) for s, n in (("a", 40), ("b", 1), (None, 7)) for t in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, time long, close double, volume double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for size in ("3", "1000"):
+            spark.conf.set(key, size)
+            got = compute(bars, [X.price_return(2)], max_bars=50)
+            assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+            want = [(s, t * DAY, t, n, None if t < 2 or t == 2 else 2 / (t - 2)) for s, n in (("a", 40), ("b", 1), (None, 7)) for t in range(n)]
+            assert sorted(map(tuple, got.select("symbol", "time", "bar", "n_bars", "price_return_L2").collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set(key, old)
